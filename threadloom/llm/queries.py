@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import exact, mixing, packing, quality, simhash
-from threadloom.llm.common import table
+from threadloom.llm import chat, exact, mixing, packing, quality, simhash, suffix, urls, vectors, warc
+from threadloom.llm.common import shared_dir, table
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An example for each assistant turn."""
+    return chat.prefix_examples(table(spark, sf_dir, "conversations"))
+
+
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the WARC files written for all pages."""
+    return warc.write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words) of each passage that other documents repeat."""
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, cosine) of the near pairs of vectors."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +52,37 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packs(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, canonical, listed); the list holds the pages of two sites."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.mark_listed(pages, urls.listed_pages(pages))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, keep_id) of each document that goes."""
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_classifier, op6_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_warc_writer,
+        op3_suffix_array_dedup,
+        op4_embedding_near_dedup,
+        op5_quality_classifier,
+        op6_exact_dedup,
+        op7_source_mixing,
+        op8_best_fit_packing,
+        op9_url_filter,
+        op10_simhash_near_dedup,
+    )
+}
 
 ORACLE_SQL = {
+    "op1_chat_formatting": chat.SQL,
+    "op4_embedding_near_dedup": vectors.SQL,
+    "op9_url_filter": urls.SQL,
     "op6_exact_dedup": """
         select doc_id, keep_id from (
             select doc_id, row_number() over w as rank, first_value(doc_id) over w as keep_id
