@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.operators.cluster import checkpointed
+
 
 def attached(df: DataFrame, columns: DataFrame, key: str = "row_id") -> DataFrame:
     """Columns side by side, matched by a key and never by position; unmatched rows get nulls."""
@@ -59,7 +61,7 @@ def prefix_sums(df: DataFrame, prefix: str) -> DataFrame:
 
 def groups_as_json(df: DataFrame, by: str, column: str, order: str) -> DataFrame:
     """(by, members): each group's values, in order, as a JSON array."""
-    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda x: x[column])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(column).alias("value")))), lambda x: x["value"])
     return df.groupBy(by).agg(F.to_json(rows).alias("members"))
 
 
@@ -70,12 +72,12 @@ def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
     """(child, parent) for all ancestors, by repeated joins; cycles end by themselves."""
-    known = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct().checkpoint()
+    known = checkpointed(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())
     base, fresh = known, known
     for _ in range(most):
         step = fresh.alias("f").join(base.alias("b"), F.col("f.parent") == F.col("b.child")).select("f.child", "b.parent").distinct()
-        fresh = step.join(known, ["child", "parent"], "left_anti").checkpoint()
+        fresh = checkpointed(step.join(known, ["child", "parent"], "left_anti"))
         if fresh.isEmpty():
             break
-        known = known.unionByName(fresh).checkpoint()
+        known = checkpointed(known.unionByName(fresh))
     return known

@@ -19,11 +19,11 @@ def joint(df: DataFrame, columns: Sequence[str], name: str = "strata|joint") ->
 
     The numbering sorts the distinct combinations, not the rows.
     """
-    kinds = df.select(*columns).distinct()
-    order = [F.asc_nulls_last(c) for c in columns]
-    numbered = kinds.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-    on = [df[c].eqNullSafe(numbered[c]) for c in columns]
-    return df.join(numbered, on, "left").select(*[df[c] for c in df.columns], numbered[name])
+    key = {c: f"_k{i}" for i, c in enumerate(columns)}
+    kinds = df.select(*[F.col(f"`{c}`").alias(k) for c, k in key.items()]).distinct()
+    numbered = kinds.withColumn(name, F.row_number().over(Window.orderBy(*[F.asc_nulls_last(k) for k in key.values()])))
+    on = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in key.items()]
+    return df.join(numbered, on, "left").drop(*key.values())
 
 
 def real(df: DataFrame, column: str, low: float, high: float, bins: int, name: str | None = None) -> DataFrame:
@@ -74,11 +74,11 @@ def _place(columns: Sequence[str], key: str, seed: int) -> Column:
 
 def stratified_sample(df: DataFrame, columns: Sequence[str], n: int, key: str, seed: int = 0) -> DataFrame:
     """About n rows, each stratum in proportion (rounded up), chosen by a seeded hash of the key."""
-    size = df.groupBy(*columns).agg(F.count("*").alias("_size"))
+    size = df.groupBy(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("_size"))
     total = df.agg(F.count("*").alias("_total"))
     ranked = df.withColumn("_place", _place(columns, key, seed))
-    joined = ranked.join(size, [ranked[c].eqNullSafe(size[c]) for c in columns]).crossJoin(F.broadcast(total))  # one row
-    return joined.filter(F.col("_place") <= F.ceil(F.col("_size") * n / F.col("_total"))).select(*[ranked[c] for c in df.columns])
+    joined = ranked.join(size, [F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)]).crossJoin(F.broadcast(total))  # one row
+    return joined.filter(F.col("_place") <= F.ceil(F.col("_size") * n / F.col("_total"))).select(*[f"`{c}`" for c in df.columns])
 
 
 def stratified_folds(df: DataFrame, columns: Sequence[str], folds: int, key: str, seed: int = 0) -> DataFrame:
