@@ -79,8 +79,7 @@ def rst_content(text: Column) -> Column:
     )
 
 
-@F.pandas_udf("array<struct<first_line: int, last_line: int, kind: string>>")
-def python_blocks(text: pd.Series) -> pd.Series:
+def python_blocks(text: Column) -> Column:
     """Longest runs of lines that parse as Python, and what lies between (kind: python, text)."""
     import ast
 
@@ -105,4 +104,8 @@ def python_blocks(text: pd.Series) -> pd.Series:
             at = stop
         return out
 
-    return text.map(split)
+    @F.pandas_udf("array<struct<first_line: int, last_line: int, kind: string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(split)
+
+    return run(text)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import messages, text, validate, vectors
+from threadloom.functions import code, messages, text, validate, vectors
 from threadloom.operators import cluster, generate, relational, search, strata, thread
+from threadloom.plans import topics
 from threadloom.plans.topics import topic_features
 from threadloom.sources import exports
 
@@ -542,3 +543,27 @@ def topic_join(spark, sf):
     df = conversations(spark, sf).df
     clusters = df.select("conversation_id").distinct().withColumn("cluster", F.col("conversation_id").cast("long") % 7)
     return topic_features(df, clusters, lambda grouped: grouped.withColumn("topic_length", F.length("content"))).select("conversation_id", "seq", "cluster", F.col("topic_length").cast("long").alias("topic_length"))
+
+
+# --- code ------------------------------------------------------------------------------------
+
+SNIPPETS = [
+    "import os\nfrom . import a\n\ndef f(x, y=1):\n    if x and y or not x:\n        return [i for i in x]\n    return lambda z: z * 2\n",
+    "class A(B):\n    '''Doc.'''\n\n    def g(self, a: int) -> int:\n        a += 1; b = a[1:2]\n        return a\n",
+    "def broken(:\n",
+    "",
+]
+
+
+@query()
+def code_counters(spark, sf):
+    """Counts of the syntax in a table of snippets."""
+    df = spark.createDataFrame(list(enumerate(SNIPPETS)), "id int, code string")
+    return code.count_operators(code.count_node_types(df, "code"), "code")
+
+
+@query()
+def topic_pipeline(spark, sf):
+    """(conversation_id, seq, cluster, topic) with the offline providers."""
+    t = topics.run(conversations(spark, sf).df, lambda: generate.LeadingWords(5), generate.HashingEmbedder)
+    return t.select("conversation_id", "seq", "cluster", "topic")
