@@ -29,7 +29,7 @@ def from_messages(df: DataFrame, order: Sequence[str], tokenizer: Tokenizer = DE
     get = lambda n: F.col(n).cast(fields[n].dataType) if n in have else F.lit(None).cast(fields[n].dataType)
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     numbered = df.withColumn("seq", number.cast("long"))
-    key = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], "seq"), 256)
+    key = _identity(by)
     made = {n: get(n) for n in fields}
     made["seq"] = F.col("seq")
     made["message_id"] = F.coalesce(get("message_id"), key)
@@ -39,6 +39,11 @@ def from_messages(df: DataFrame, order: Sequence[str], tokenizer: Tokenizer = DE
     return table if "parent_id" in have else with_parents(table, by)
 
 
+def _identity(by: Sequence[str]) -> Column:
+    """A message's id by thread and position."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by], "seq"), 256)
+
+
 def with_parents(thread: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """parent_id: message_id of the message before; null for the first."""
     return thread.withColumn("parent_id", F.lag("message_id").over(Window.partitionBy(*by).orderBy("seq")))
@@ -219,7 +224,10 @@ class Thread:
         size = self.df.groupBy(*self.by).agg((F.max("seq") + 1).alias("_n"), F.sum("tokens_count").alias("_t"))
         names = [f.name for f in THREAD]
         fresh = from_messages(messages, ["seq"], self.tokenizer, self.by).join(size, list(self.by), "left")
-        fresh = fresh.withColumn("seq", F.col("seq") + F.coalesce("_n", F.lit(0))).select(*names)
+        fresh = fresh.withColumn("seq", F.col("seq") + F.coalesce("_n", F.lit(0)))
+        if "message_id" not in messages.columns:  # ids follow the position in the whole thread
+            fresh = fresh.withColumn("message_id", _identity(self.by))
+        fresh = fresh.select(*names)
         both = self.df.select(*names).unionByName(fresh)
         return self._with(with_parents(admitted(both, self.max_memory, self.by), self.by))
 
