@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from threadloom.llm import textkernel as tk
 from threadloom.llm.common import cut, pick
 
-SAMPLE, LEXICON, MIN_DOCS, SEED = 20_000, 4_096, 8, 7
+SAMPLE, LEXICON, MIN_DOCS, SEED = 20_000, 4_096, 4, 7
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE = 150, 60, 0.15
 THRESHOLD = 0.5
