@@ -168,6 +168,24 @@ def test_repeated_passages_match_brute_force(spark):
     assert suffix.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 30])
+def test_every_place_of_a_stretch_is_reported(spark, hot):
+    block, line = prose(300, 500), prose(120, 501)
+    texts = {1: " ".join(block * 2), 2: " ".join([*prose(40, 502), *block[100:180], *prose(40, 503)])}
+    texts |= {3: " ".join(prose(20, 504) + line * 60), 4: " ".join([*prose(30, 505), *line[10:95]]), 5: " ".join(line * 3 + prose(9, 506))}
+    texts |= {i: texts[1] for i in range(10, 50)}  # copies add no places
+    df = spark.createDataFrame([(d, t, "s") for d, t in texts.items()], DOCS)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "20")  # buckets go over batches
+    try:
+        got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeated_passages(df.filter("doc_id < 10"), hot=hot).collect()}
+        assert got == brute_passages({d: t for d, t in texts.items() if d < 10}, 50)
+        got = {(r.doc_id, r.start_word, r.end_word) for r in suffix.repeated_passages(df, hot=hot).collect()}
+        assert got == brute_passages(texts, 50)
+    finally:
+        spark.conf.unset(size)
+
+
 def test_repeated_passages_over_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in df.dropna(subset=["text"]).collect()}

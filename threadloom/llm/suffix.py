@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import textkernel as tk
 from threadloom.llm.common import cut, pick
 
-MIN_WORDS, K = 50, 10
+MIN_WORDS, K, HOT = 50, 10, 200_000
 _STEP = np.uint64(tk.BASE)
 
 
@@ -207,7 +207,7 @@ def _word_start(row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _segments(fp: np.ndarray, same: np.ndarray, h1: np.ndarray, h2: np.ndarray, start: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Spans (h1, h2, start, end) that repeat, of whole buckets; rows sorted by fp, same, h1, h2."""
+    """Spans (h1, h2, start, end) that repeat, of whole buckets; rows sorted by fp, same, h1, h2, start."""
     offset = np.concatenate([[0], np.cumsum(lengths)])
     first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (same[1:] != same[:-1])]))
     last = np.concatenate([first[1:], [fp.size]]) - 1
@@ -215,12 +215,12 @@ def _segments(fp: np.ndarray, same: np.ndarray, h1: np.ndarray, h2: np.ndarray,
     hit = np.repeat(several, last - first + 1)
     if hit.any():
         yield h1[hit], h2[hit], start[hit], start[hit] + lengths[hit]
-    # one row for each distinct stretch; buckets with two of them or more
+    # one row for each distinct stretch, which stands for all places of it; buckets with two of them or more
     bucket = fp[first]
     change = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     number = np.cumsum(change) - 1
     many = np.bincount(number)[number] > 1
-    chosen = first[many]
+    chosen, final = first[many], last[many]
     if not chosen.size:
         return
     number, several = number[many], several[many]
@@ -260,22 +260,21 @@ def _segments(fp: np.ndarray, same: np.ndarray, h1: np.ndarray, h2: np.ndarray,
         for r, starts in zip(rows, repeats(strings, names, least), strict=True):
             if several[r] or not starts:
                 continue
-            base = int(start[chosen[r]] + lo[r] - begin[r])
             starts.sort()
-            a = b_ = None
+            runs: list[list[int]] = []
             for s in starts:
-                if a is None or s > b_:
-                    if a is not None:
-                        got.append((int(h1[chosen[r]]), int(h2[chosen[r]]), base + a, base + b_))
-                    a = s
-                b_ = s + least
-            got.append((int(h1[chosen[r]]), int(h2[chosen[r]]), base + a, base + b_))
+                if not runs or s > runs[-1][1]:
+                    runs.append([s, s])
+                runs[-1][1] = s + least
+            # the stretch may stand in its text several times
+            places = np.unique(start[chosen[r] : final[r] + 1]) + (lo[r] - begin[r])
+            got.extend((int(h1[chosen[r]]), int(h2[chosen[r]]), base + a, base + z) for base in places.tolist() for a, z in runs)
     if got:
         yield tuple(np.array(c, np.int64) for c in zip(*got, strict=True))
 
 
-def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words) of the repeated passages of each document."""
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot: int = HOT) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words) of the repeated passages of each document; buckets of over `hot` rows are reduced as they come."""
     keyed = pick(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +348,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> Da
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows < 20_000:
+            if rows < min(20_000, hot):
                 continue
             t = pa.Table.from_batches(held)
             fp = t.column("fp").to_numpy()
@@ -357,8 +356,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> Da
             if last:
                 yield from spans(t.slice(0, last))
             t = t.slice(last)
-            if t.num_rows > 200_000:  # a hot bucket: stretches of several texts are told at once, one row of each goes on
-                a, s, x, y = (t.column(n).to_numpy() for n in ("fp", "same", "h1", "h2"))
+            if t.num_rows > hot:  # a hot bucket: stretches of several texts are told at once, two rows of each go on
+                a, s, x, y, at = (t.column(n).to_numpy() for n in ("fp", "same", "h1", "h2", "start"))
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
                 ends = np.concatenate([first[1:], [a.size]]) - 1
                 multi = (x[first] != x[ends]) | (y[first] != y[ends])
@@ -367,14 +366,15 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K) -> Da
                     told = t.filter(pa.array(hit))
                     begin = told.column("start").to_numpy()
                     yield record(told.column("h1").to_numpy(), told.column("h2").to_numpy(), begin, begin + np.array([len(z) // 4 for z in told.column("stretch").to_pylist()], np.int64))
-                # two rows of different texts stand for a stretch of several
-                keep = np.unique(np.concatenate([first, ends[multi]]))
+                # two rows of different texts stand for a stretch of several; of one text's, each place goes on once
+                place = np.concatenate([[True], (s[1:] != s[:-1]) | (at[1:] != at[:-1])]) & ~hit
+                keep = np.unique(np.concatenate([first, ends[multi], np.flatnonzero(place)]))
                 t = t.take(pa.array(keep))
-            held, rows = t.combine_chunks().to_batches(), 0 if t.num_rows < 200_000 else t.num_rows
+            held, rows = t.combine_chunks().to_batches(), 0
         if held:
             yield from spans(pa.Table.from_batches(held))
 
-    order = ["fp", "same", "h1", "h2"]
+    order = ["fp", "same", "h1", "h2", "start"]
     spans = cutout.repartition("fp").sortWithinPartitions(*order).mapInArrow(resolve, "h1 long, h2 long, start long, end long")
     here = Window.partitionBy("h1", "h2").orderBy("start", "end")
     marked = spans.withColumn("reach", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
