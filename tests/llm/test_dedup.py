@@ -93,6 +93,16 @@ def test_near_pairs_recall_over_a_table(spark):
     assert len(gone) >= 0.9 * len(expected) > 20
 
 
+def test_pairs_at_the_radius_are_found(spark):
+    rng = np.random.RandomState(4)
+    base = rng.randint(0, 256, (2000, 32)).astype(np.uint8)
+    other = base ^ np.packbits(rng.rand(2000, 256).argsort(axis=1) < simhash.RADIUS, axis=1)
+    coded = spark.createDataFrame([(2 * i + j, bytes(x)) for i, pair in enumerate(zip(base, other, strict=True)) for j, x in enumerate(pair)], "node long, code binary")
+    got = [(r.a, r.b, r.bits) for r in simhash.near_pairs(coded).collect()]
+    assert set(got) <= {(2 * i, 2 * i + 1, simhash.RADIUS) for i in range(2000)}
+    assert len(got) == len(set(got)) >= 0.9 * 2000
+
+
 def test_near_copies_and_edge_cases(spark):
     base = prose(300, 1)
     data = [(3, " ".join(base), "s"), (4, altered(base, 0.05, 1), "s"), (9, altered(base, 0.05, 2).upper(), "s"), (5, " ".join(prose(300, 2)), "s"), (6, None, "s"), (7, "", "s"), (8, "...", "s"), (None, altered(base, 0.03, 3), "s"), (10, " ".join(prose(60_000, 5)), "s"), (11, " ".join(prose(60_000, 5)) + " end", "s")]
