@@ -110,6 +110,18 @@ def test_grouping_packs_tightly(lengths, most):
     assert len(np.unique(where)) <= most * size.sum() / packing.CAPACITY + 1
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 47])
+def test_few_large_pieces_are_grouped_too(monkeypatch, n):
+    demands = []
+    solve = packing.solve
+    monkeypatch.setattr(packing, "solve", lambda patterns, demand: demands.append(demand.tolist()) or solve(patterns, demand))
+    size = np.sort(np.concatenate([np.random.RandomState(n).randint(257, 2048, n), np.full(30, 20)]))[::-1]
+    where, _ = packing.pack(size)
+    assert [sum(d) for d in demands] == [n] and len(demands[0]) <= max(1, n // 4)
+    assert (np.bincount(where, size) <= packing.CAPACITY).all()
+    assert where.max() <= packing._filled(size, packing.CAPACITY, packing.GROUPS, 0)[0].max()
+
+
 def test_few_sizes_are_solved_to_the_optimum():
     patterns = packing.configurations([6, 4, 3], 10)
     _, amounts = packing.solve(patterns, np.array([30.0, 30.0, 30.0]))

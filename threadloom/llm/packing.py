@@ -6,7 +6,9 @@ by length, fall into `GROUPS` groups of equal cardinality, each rounded up to it
 leaves few sizes: all ways to fill a pack with them (configurations) are listed, and a linear program
 over them, solved by the simplex method, says how often to use each.  Whole uses are carried out with
 the actual pieces of each group; the pieces that fractions leave, and then the small ones, are put
-where they fit best, the longest first.
+where they fit best, the longest first.  With fewer than four large pieces a group, they fall into
+fewer groups, of four or more; since rounding costs most there, all pieces are also put where they fit
+best alone, and of the two ways the one with fewer packs (of equals the grouped one) is taken.
 
 Shards are hashes of doc_id and hold about `SHARD_ITEMS` documents, so a shard's groups have many
 pieces at any corpus size, and the work grows in proportion to the input.
@@ -83,11 +85,20 @@ def solve(patterns: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def pack(length: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
     """(pack, offset) of each piece; lengths must be sorted falling and lie in 1..capacity."""
+    large = int(np.searchsorted(-length, -(capacity // small), side="left"))
+    if large >= groups * 4 or not large:
+        return _filled(length, capacity, groups, large)
+    grouped = _filled(length, capacity, min(groups, GROUPS, max(1, large // 4)), large)
+    plain = _filled(length, capacity, groups, 0)
+    return grouped if grouped[0].max() <= plain[0].max() else plain
+
+
+def _filled(length: np.ndarray, capacity: int, groups: int, large: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pack, offset) of each piece; the first `large` are grouped."""
     n = length.size
     where, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     left: list[int] = []
-    large = int(np.searchsorted(-length, -(capacity // small), side="left"))
-    if large >= groups * 4:
+    if large:
         cut_at = np.linspace(0, large, groups + 1).astype(int)
         sizes = [int(length[a]) for a in cut_at[:-1]]  # each group rounded up to its longest
         merged: dict[int, list[int]] = {}
