@@ -206,17 +206,53 @@ def test_repeated_passages_over_a_table(spark):
 # --- vectors ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [16, vectors.BLOCK])
-def test_near_vectors_match_brute_force(spark, block):
+def brute_near(rows, cosine=vectors.COSINE):
+    """{vec_id: (class_id, links)} of rows (vec_id, vector)."""
+    rows = list(dict.fromkeys((i, None if v is None else tuple(v)) for i, v in rows if i is not None))
+    good = [k for k, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and np.linalg.norm(v) > 0]
+    links, near = dict.fromkeys((i for i, _ in rows), 0), []
+    for a in good:
+        for b in good:
+            x, y = rows[a][1], rows[b][1]
+            if a != b and len(x) == len(y) and np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= cosine:
+                links[rows[a][0]] += 1
+                near.append((rows[a][0], rows[b][0]))
+    return {i: (c, links[i]) for i, c in brute_components(sorted(links), near).items()}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 12, vectors.BLOCK_BYTES])
+def test_near_vectors_match_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(vectors, "LEAF", 8)
     rng = np.random.RandomState(3)
     centre = rng.randn(40, 16)
     x = np.concatenate([centre + rng.randn(40, 16) * s for s in (0.05, 0.15, 0.3)] + [rng.randn(100, 16)])
     data = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.9}
-    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0, 2.0], 1), (905, [2.0, 4.0], 1), (None, data[0][1], 1), (906, [float("inf")] * 16, 1), (907, [], 1), (0, data[0][1], 1)]
-    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as v", "2 as size", "3 as block", "4 as norm")
-    got = {(r.a, r.b) for r in vectors.near_vectors(df, block=block).collect()}
-    assert got == want | {(904, 905)} and len(want) > 40
+    odd = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [None] * 16, 1), (904, [1.0, 2.0], 1), (905, [2.0, 4.0], 1), (None, data[0][1], 1), (906, [float("inf")] * 16, 1), (907, [], 1)]
+    odd += [data[0], (0, data[50][1], 1), (7, data[0][1], 1), *[(1000 + i, data[9][1], 1) for i in range(30)], (800, [-0.0, *data[3][1][1:]], 1), (801, [0.0, *data[3][1][1:]], 1)]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as raw", "2 as size", "3 as block", "4 as node")
+    got = {r.vec_id: (r.class_id, r.links) for r in vectors.near_vectors(df, block_bytes=block_bytes).collect()}
+    want = brute_near([(i, v) for i, v, _ in data + odd])
+    assert got == want and sum(n > 0 for _, n in want.values()) > 100 and want[905] == (904, 1) and want[1000][1] >= 30
+    single = df.filter("size(embedding) = 16").selectExpr("vec_id", "cast(embedding as array<float>) embedding")
+    got = {r.vec_id: (r.class_id, r.links) for r in vectors.near_vectors(single, block_bytes=block_bytes).collect()}
+    assert got == brute_near([(r.vec_id, r.embedding) for r in single.collect()])
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def skipped(spark, x, cosine):
+    """Block pairs that are joined, and all of them."""
+    nodes = spark.createDataFrame([(i, 1, i, i, x.shape[1], v.tobytes()) for i, v in enumerate(x)], "node long, n long, h1 long, h2 long, size int, raw binary")
+    rotation = spark.sparkContext.broadcast(vectors.axes(nodes, np.float64))
+    made = vectors.blocked(nodes, np.float64, rotation, cosine, 64 * x.shape[1] * 8).cache()
+    n = made.count()
+    return vectors.block_pairs(made, cosine).count(), n * (n + 1) // 2
+
+
+def test_distant_blocks_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LEAF", 16)
+    rng = np.random.RandomState(5)
+    spread = rng.randn(4000, 32) * 0.7 ** np.arange(32)  # a few axes hold most of the variance
+    joined, every = skipped(spark, spread, 0.99)
+    assert joined < 0.35 * every
+    joined, every = skipped(spark, rng.randn(2000, 64), 0.9)  # isotropic: no block is provably distant
+    assert joined == every

@@ -27,7 +27,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, cosine) of the near pairs of vectors."""
+    """(vec_id, class_id, links) of every vector."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
