@@ -67,6 +67,65 @@ def test_warc_round_trip_is_deterministic(spark, tmp_path):
     assert r.payload_digest in gzip.decompress(member).decode()
 
 
+def plain_files(pages, range_bytes, file_bytes):
+    """{file: [page_id]} of rows (place, page_id, url, html): one sort, one running sum, one task."""
+    out, total, number, part, roll, used, before, ordinal, name = {}, 0, -1, -1, 0, 0, None, 0, None
+    for place, i, url, html in sorted(pages, key=lambda p: p[0]):
+        ordinal = ordinal + 1 if place == before else 0
+        if place != before and total // range_bytes != number:  # a range begins with a new place only
+            number, part, roll, name = total // range_bytes, part + 1, 0, None
+        before = place
+        total += len((html or "").encode()) + 512
+        data = warc.response(i, url, html, ordinal)[0]
+        if name is None or used + len(data) > file_bytes:
+            roll += name is not None
+            name = f"part-{part:08d}-{roll:05d}.warc.gz"
+            info = f"format: WARC File Format 1.1\r\nfilename: {name}\r\n".encode()
+            used = len(warc.member("warcinfo", None, info, info, name, "application/warc-fields")[0])
+        used += len(data)
+        out.setdefault(name, []).append(i)
+    return out
+
+
+def test_warc_ranges_and_rolls_match_a_plain_writer(spark, tmp_path):
+    rng = np.random.RandomState(2)
+    pages = [(int(i), f"http://h{i % 5}.example.com/{i % 60}", "".join(map(chr, rng.randint(97, 123, rng.randint(0, 4000))))) for i in rng.permutation(240)] + [(-5, None, "n"), (None, None, None)]
+    df = spark.createDataFrame(pages, PAGES)
+    place = {tuple(r)[1:]: r[0] for r in df.select(warc.place(warc.sort_key(df.url)), "*").collect()}
+    assert len(set(place.values())) == len(pages)
+    want = plain_files([(place[p], *p) for p in pages], 50_000, 12_000)
+    warc.write_warc(df.repartition(5), f"file://{tmp_path}/p", range_bytes=50_000, file_bytes=12_000)
+    got = {f: [h["WARC-Record-ID"] for h, _ in r[1:]] for f, r in written(tmp_path / "p").items()}
+    assert {f: len(r) for f, r in got.items()} == {f: len(r) for f, r in want.items()} and len({f[:13] for f in got}) > 5
+    index = spark.read.parquet(f"file://{tmp_path}/p/index").orderBy("file", "offset").collect()
+    assert [(r.file, r.page_id) for r in index] == [(f, i) for f in sorted(want) for i in want[f]]
+
+
+def test_warc_ties_hot_records_and_targets(spark, tmp_path):
+    ties = [(1, "http://a.com/x", "h"), (1, "https://www.a.com/x", "h"), (1, "http://a.com:80/x", "h"), (1, "http://a.com/x", "g"), (1, "http://a.com/x", None), (1, "http://a.com/x", "")]
+    hot = [(7, "http://hot.example/", "z" * 1000)] * 300 + [(None, None, "y" * 500)] * 100
+    other = [(2, "http://b.com/a b\u00a0c\td", "t"), (3, "http://c.com/" + "u" * 20_000, "v" * 300_000)]
+    one = spark.createDataFrame(ties + hot + other, PAGES)
+    two = spark.createDataFrame((ties + hot + other)[::-1], PAGES).repartition(3)
+    assert warc.write_warc(one, f"file://{tmp_path}/a", range_bytes=20_000, file_bytes=9_000).count() == 408
+    warc.write_warc(two, f"file://{tmp_path}/b", range_bytes=20_000, file_bytes=9_000)
+    a, b = written(tmp_path / "a"), written(tmp_path / "b")
+    assert a == b
+    records = [r for f in a.values() for r in f]
+    assert len({h["WARC-Record-ID"] for h, _ in records}) == len(records)
+    size = [sum(len(x) for _, x in f) for f in a.values()]
+    assert sorted(size)[-2] < 40_000  # copies of one record are split over ranges; one record is longer than a range
+    targets = {h.get("WARC-Target-URI") for h, _ in records}
+    assert "http://b.com/a%20b%C2%A0c%09d" in targets and len({t for t in targets if t and "a.com" in t}) == 3
+
+
+def test_warc_ranges_grow_until_their_places_fit(spark):
+    sizes = spark.createDataFrame([(f"{i:03d}" + "k" * 40, 10) for i in range(200)], "place string, size long")
+    assert len(warc.range_starts(sizes, 20)) == 100
+    few = warc.range_starts(sizes, 20, most=3_000)
+    assert few == warc.range_starts(sizes, 80) and len(few) == 25
+
+
 def test_warc_of_nothing(spark, tmp_path):
     assert warc.write_warc(spark.createDataFrame([], PAGES), f"file://{tmp_path}/e").count() == 0
     assert json.loads((tmp_path / "e" / "MANIFEST.json").read_text()) == {"files": 0, "records": 0, "bytes": 0}
