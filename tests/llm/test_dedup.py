@@ -87,20 +87,61 @@ def test_near_pairs_recall_over_a_table(spark):
     a, b = np.nonzero(distance <= simhash.RADIUS)
     want = {(int(ids[x]), int(ids[y])) for x, y in zip(a, b, strict=True) if ids[x] < ids[y]}
     gone = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(docs)).collect()}
-    roots = brute_components(ids.tolist(), want)
-    expected = {i for i, r in roots.items() if i != r}
-    assert gone <= expected
-    assert len(gone) >= 0.9 * len(expected) > 20
+    layout = simhash.Layout.of(len(np.unique(code, axis=0)))
+    row = {int(i): c for i, c in zip(ids, code, strict=True)}
+    met = {(x, y) for x, y in want if (row[x] == row[y]).all() or layout.first_band(row[x][None], row[y][None])[0] >= 0}
+    assert len(met) >= 0.99 * len(want)
+    roots = brute_components(ids.tolist(), met)
+    assert gone == {i for i, r in roots.items() if i != r} and len(gone) > 20
 
 
-def test_pairs_at_the_radius_are_found(spark):
+@pytest.mark.parametrize("layout", [simhash.Layout.of(1000), simhash.Layout.of(1 << 30)])
+def test_recall_is_what_the_layout_states(layout):
     rng = np.random.RandomState(4)
-    base = rng.randint(0, 256, (2000, 32)).astype(np.uint8)
-    other = base ^ np.packbits(rng.rand(2000, 256).argsort(axis=1) < simhash.RADIUS, axis=1)
-    coded = spark.createDataFrame([(2 * i + j, bytes(x)) for i, pair in enumerate(zip(base, other, strict=True)) for j, x in enumerate(pair)], "node long, code binary")
-    got = [(r.a, r.b, r.bits) for r in simhash.near_pairs(coded).collect()]
-    assert set(got) <= {(2 * i, 2 * i + 1, simhash.RADIUS) for i in range(2000)}
-    assert len(got) == len(set(got)) >= 0.9 * 2000
+    for bits in (24, 32, 40, 44, simhash.RADIUS):
+        base = rng.randint(0, 256, (6000, 32)).astype(np.uint8)
+        other = base ^ np.packbits(rng.rand(6000, 256).argsort(axis=1) < bits, axis=1)
+        met = (layout.first_band(base.view(np.uint64), other.view(np.uint64)) >= 0).mean()
+        assert abs(met - layout.recall(bits)) < 4 * np.sqrt(max(1e-4, layout.recall(bits) * (1 - layout.recall(bits))) / 6000)
+    assert layout.recall(simhash.RADIUS) >= simhash.RECALL and layout.recall(40) > 0.98 and layout.recall(32) > 0.999
+
+
+def test_bands_widen_with_the_corpus():
+    widths = [(made := simhash.Layout.of(1 << k)).outer + made.inner for k in range(10, 40, 3)]
+    assert widths == sorted(widths) and widths[0] == 16
+    assert all(1 << k >> w <= 1 << 7 for k, w in zip(range(10, 40, 3), widths, strict=True))
+
+
+@pytest.mark.parametrize("layout", [None, simhash.Layout(60, 12, 7, 8)])
+def test_pairs_of_a_band_are_all_found(spark, layout):
+    """Without slack: every pair within the radius that shares a band, and no other, once."""
+    rng = np.random.RandomState(4)
+    base = rng.randint(0, 256, (700, 32)).astype(np.uint8)
+    other = [base ^ np.packbits(rng.rand(700, 256).argsort(axis=1) < bits, axis=1) for bits in (20, 47, 50)]
+    code = np.concatenate([base, *other]).view(np.uint64)
+    used = layout or simhash.Layout.of(len(code))
+    want = set()
+    for i in range(len(code)):
+        d = np.bitwise_count(code ^ code[i]).sum(1)
+        j = np.flatnonzero(d <= simhash.RADIUS)
+        j = j[j > i]
+        j = j[used.first_band(np.repeat(code[i : i + 1], j.size, 0), code[j]) >= 0] if j.size else j
+        want |= {(i, int(k), int(d[k])) for k in j}
+    coded = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(code)], "node long, code binary")
+    got = [(r.a, r.b, r.bits) for r in simhash.near_pairs(coded, layout=layout).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and sum(b >= 40 for _, _, b in want) > 500
+
+
+@pytest.mark.parametrize("ids", [(3, 5), ((1 << 63) - 1, 5), ((1 << 63) - 1, -(1 << 63))])
+def test_no_number_is_confused_with_a_null_id(spark, ids):
+    base = prose(300, 1)
+    text = " ".join(base)
+    rows = [(ids[0], text, "s"), (None, text, "s"), (None, " ".join(prose(300, 9)), "s"), (None, " ".join(prose(300, 10)), "s"), (ids[1], altered(prose(300, 9), 0.03, 1), "s")]
+    got = {tuple(r) for r in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    keep = min(ids)  # the null document ties the two groups together
+    assert got == {(max(ids), keep), (None, keep)}
+    alone = spark.createDataFrame([(None, text, "s"), (None, altered(base, 0.02, 3), "s"), (ids[1], " ".join(prose(99, 4)), "s")], DOCS)
+    assert simhash.near_copies(alone).count() == 0
 
 
 def test_near_copies_and_edge_cases(spark):
