@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -237,6 +238,36 @@ def test_every_place_of_a_stretch_is_reported(spark, hot):
         spark.conf.unset(size)
 
 
+def by_sql(sql, **tables):
+    """Rows of DuckDB SQL over Spark tables."""
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    return con.execute(sql).fetchall()
+
+
+def test_passages_of_null_ids_repeated_rows_and_long_texts(spark, rows):
+    shared = prose(80, 600)
+    long = prose(30_000, 601)
+    data = [(None, " ".join(shared), "s"), (None, " ".join(prose(10, 602) + shared), "s"), (1, " ".join(prose(20, 603) + shared[5:70]), "s")]
+    data += [(2, " ".join(prose(60, 604)), "s")] * 3  # rows of one document
+    data += [(3, " ".join(prose(99, 605)), "s"), (3, " ".join(prose(99, 605)[:70]), "s")]  # its texts repeat each other only
+    data += [(4, " ".join(long), "s"), (5, " ".join(prose(9, 606) + long[20_000:20_060] + prose(70, 607)), "s"), (6, " ".join(prose(60, 604)[:51]), "s")]
+    df = spark.createDataFrame(data, DOCS)
+    got = rows(suffix.repeated_passages(df))
+    assert got == sorted(map(tuple, by_sql(suffix.SQL, documents=df)), key=repr)
+    assert {g[0] for g in got} == {None, 1, 2, 4, 5, 6} and (4, 20_000, 20_060, 60) in got
+
+
+def test_near_vectors_equal_their_sql(spark, rows):
+    rng = np.random.RandomState(8)
+    x = np.repeat(rng.randn(20, 12), 6, axis=0) + 0.12 * rng.randn(120, 12)
+    data = [(i % 110, v.tolist()) for i, v in enumerate(x)] + [(200 + i, x[0].tolist()) for i in range(9)] + [(None, x[0].tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = rows(vectors.near_vectors(df))
+    assert got == sorted(map(tuple, by_sql(vectors.SQL, embeddings=df)), key=repr) and len({g[1] for g in got}) < 40
+
+
 def test_repeated_passages_over_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in df.dropna(subset=["text"]).collect()}

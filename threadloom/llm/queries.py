@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,
+    "op3_suffix_array_dedup": suffix.SQL,
     "op4_embedding_near_dedup": vectors.SQL,
     "op9_url_filter": urls.SQL,
     "op6_exact_dedup": """

@@ -18,7 +18,7 @@ with several documents.  Words are compared by 32 bits of their hash, MIN_WORDS
 Defined results: words are runs of letters and digits in folded case, so passages are equal regardless
 of case and punctuation; repeats within one document alone don't count; null texts and texts of fewer
 words have none; rows with one doc_id are one document (null is one too), and its spans refer to the
-text they lie in; overlapping and touching passages of a text are one span; extra columns are left out.
+text they lie in; doc_id must be a whole number; an empty table gives no rows; overlapping and touching passages of a text are one span; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -38,12 +38,19 @@ _STEP = np.uint64(tk.BASE)
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
-    """Suffix array of non-negative symbols by grouping with previous-smaller pointers."""
+    """Suffix array of non-negative symbols by grouping with previous-smaller pointers.
+
+    Symbols and votes are told apart by counting, so the time is linear in the length and the greatest
+    symbol, but for the path compression of the pointers.
+    """
     n = len(symbols)
     if n == 0:
         return []
     # groups are intervals of `member`; a group is named by its first slot
-    member = sorted(range(n), key=symbols.__getitem__)
+    buckets: list[list[int]] = [[] for _ in range(max(symbols) + 1)]
+    for i, x in enumerate(symbols):
+        buckets[x].append(i)
+    member = [i for bucket in buckets for i in bucket]
     slot = [0] * n
     group = [0] * n
     end = [0] * (n + 1)
@@ -76,28 +83,23 @@ def suffix_array(symbols: list[int]) -> list[int]:
             if p >= 0:
                 votes[p] = votes.get(p, 0) + 1
         # the most named go last in their group; each (group, votes) becomes a group right after the old one
-        if len(votes) == 1:
-            named = list(votes)
-        else:
-            named = sorted(votes, key=lambda p: (-votes[p], group[p]))
-        at = 0
-        while at < len(named):
-            old, count = group[named[at]], votes[named[at]]
-            stop = at + 1
-            while stop < len(named) and group[named[stop]] == old and votes[named[stop]] == count:
-                stop += 1
-            last = end[old]
-            new = last - (stop - at)
-            if new > old:
-                for i, p in enumerate(named[at:stop]):
+        ranked: list[dict[int, list[int]]] = [{} for _ in range(max(votes.values(), default=0) + 1)]
+        for p, count in votes.items():
+            ranked[count].setdefault(group[p], []).append(p)
+        for same in reversed(ranked):
+            for old, named in same.items():
+                last = end[old]
+                new = last - len(named)
+                if new == old:
+                    continue
+                for i, p in enumerate(named):
                     a, b = slot[p], last - 1 - i
                     q = member[b]
                     member[a], member[b] = q, p
                     slot[q], slot[p] = a, b
-                for p in named[at:stop]:
+                for p in named:
                     group[p] = new
                 end[old], end[new] = new, last
-            at = stop
         top = g
     # second phase: from the front; group[] is the next free slot's owner
     out = [-1] * n
@@ -287,14 +289,17 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
                 h1, h2 = (b.column(i).to_numpy()[lo + where] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(h1), pa.array(h2), pa.array(pos)], ["fp", "h1", "h2", "pos"])
 
-    found = keyed.select("h1", "h2", "text").mapInArrow(pieces, "fp long, h1 long, h2 long, pos long")
-    mine = Window.partitionBy("fp")
-    text = F.struct("h1", "h2")
-    shared = found.repartition("fp").withColumn("a", F.min(text).over(mine)).withColumn("b", F.max(text).over(mine)).filter("a <> b").select("h1", "h2", "pos")
+    found = cut(keyed.select("h1", "h2", "text").mapInArrow(pieces, "fp long, h1 long, h2 long, pos long"))
+    # pieces of several texts, summed up before they are sent: a common one has a row a partition
+    ends = found.groupBy("fp").agg(*[f(c).alias(f.__name__ + c) for c in ("h1", "h2") for f in (F.min, F.max)])
+    shared = found.join(ends.filter("minh1 < maxh1 or minh2 < maxh2").select("fp"), "fp", "left_semi").select("h1", "h2", "pos")
     same = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or(F.col("doc_id").isNull()).alias("c"))
     whole = same.filter("a < b or (c and a is not null)").select("h1", "h2", F.lit(-1).cast("long").alias("pos"))
-    wanted = shared.unionByName(whole).groupBy("h1", "h2").agg(F.collect_set("pos").alias("pos")).hint("shuffle_hash")
-    texts = keyed.select("h1", "h2", "text").join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "pos")
+    wanted = shared.unionByName(whole).groupBy("h1", "h2").agg(F.collect_set("pos").alias("pos"))
+    # of equal texts, the one with the least doc_id is read again
+    wanted = wanted.join(same.select("h1", "h2", F.col("a").alias("doc_id")), ["h1", "h2"]).hint("shuffle_hash")
+    mine = [keyed["h1"] == wanted["h1"], keyed["h2"] == wanted["h2"], keyed["doc_id"].eqNullSafe(wanted["doc_id"])]
+    texts = keyed.join(wanted, mine).select(keyed["h1"], keyed["h2"], keyed["text"], wanted["pos"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -382,3 +387,25 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
     merged = marked.groupBy("h1", "h2", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
     ids = keyed.select("doc_id", "h1", "h2").distinct()
     return cut(merged).join(ids, ["h1", "h2"]).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
+
+
+_CAPITALS = "".join(map(chr, [*range(65, 91), *(c for c in range(0xC0, 0xDF) if c != 0xD7)]))
+SQL = f"""
+    with texts as (
+        select distinct doc_id, text from documents where text is not null
+    ), split as (
+        select doc_id, text, regexp_extract_all(translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}'), '[0-9a-zA-Z\\x{{80}}-\\x{{10FFFF}}]+') as w from texts
+    ), windows as (
+        select doc_id, text, i as start, hash(list_slice(w, i + 1, i + {MIN_WORDS})) as h, md5(array_to_string(list_slice(w, i + 1, i + {MIN_WORDS}), ' ')) as m
+        from (select doc_id, text, w, unnest(range(len(w) - {MIN_WORDS - 1})) as i from split where len(w) >= {MIN_WORDS})
+    ), hit as (
+        select doc_id, text, start from (
+            select *, min(coalesce(cast(doc_id as varchar), '')) over w as a, max(coalesce(cast(doc_id as varchar), '')) over w as b from windows window w as (partition by h, m)
+        ) where a <> b
+    ), marked as (
+        select *, coalesce(cast(start > lag(start) over (partition by doc_id, text order by start) + {MIN_WORDS} as integer), 1) as fresh from hit
+    ), islands as (
+        select *, sum(fresh) over (partition by doc_id, text order by start) as island from marked
+    )
+    select doc_id, min(start) as start_word, max(start) + {MIN_WORDS} as end_word, max(start) + {MIN_WORDS} - min(start) as n_words
+    from islands group by doc_id, text, island"""
