@@ -12,7 +12,7 @@ equals).  Equal windows have equal owners, so a window can repeat only within th
 hash.  Owners seen in a single text are dropped; for the others the stretch of owned windows goes to
 the bucket.  There, stretches seen in two texts are repeated as a whole; of the rest, those with a
 window whose rolling hash came twice are put into one suffix array, and each run of suffixes with a
-common prefix of MIN_WORDS words is a repeat if it comes from two texts.  Equal texts are one text
+common prefix of MIN_WORDS words is a repeat if it comes from two documents.  Equal texts are one text
 with several documents.  Words are compared by 32 bits of their hash, MIN_WORDS at a time.
 
 Defined results: words are runs of letters and digits in folded case, so passages are equal regardless
@@ -208,12 +208,12 @@ def _word_start(row: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(n + 1), side="left")
 
 
-def _segments(fp: np.ndarray, same: np.ndarray, h1: np.ndarray, h2: np.ndarray, start: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Spans (h1, h2, start, end) that repeat, of whole buckets; rows sorted by fp, same, h1, h2, start."""
+def _segments(fp: np.ndarray, same: np.ndarray, owner: np.ndarray, h1: np.ndarray, h2: np.ndarray, start: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Spans (h1, h2, start, end) that repeat, of whole buckets; rows sorted by fp, same, owner, h1, h2, start."""
     offset = np.concatenate([[0], np.cumsum(lengths)])
     first = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (same[1:] != same[:-1])]))
     last = np.concatenate([first[1:], [fp.size]]) - 1
-    several = (h1[first] != h1[last]) | (h2[first] != h2[last])
+    several = owner[first] != owner[last]
     hit = np.repeat(several, last - first + 1)
     if hit.any():
         yield h1[hit], h2[hit], start[hit], start[hit] + lengths[hit]
@@ -258,7 +258,7 @@ def _segments(fp: np.ndarray, same: np.ndarray, h1: np.ndarray, h2: np.ndarray,
             strings.append(ranks[p : p + part.size])
             p += part.size
         # a stretch of several texts is an owner of its own: another text always has it too
-        names = [(int(h1[chosen[r]]), int(h2[chosen[r]])) if not several[r] else int(r) for r in rows]
+        names = [(int(owner[chosen[r]]), False) if not several[r] else (int(r), True) for r in rows]
         for r, starts in zip(rows, repeats(strings, names, least), strict=True):
             if several[r] or not starts:
                 continue
@@ -268,9 +268,10 @@ def _segments(fp: np.ndarray, same: np.ndarray, h1: np.ndarray, h2: np.ndarray,
                 if not runs or s > runs[-1][1]:
                     runs.append([s, s])
                 runs[-1][1] = s + least
-            # the stretch may stand in its text several times
-            places = np.unique(start[chosen[r] : final[r] + 1]) + (lo[r] - begin[r])
-            got.extend((int(h1[chosen[r]]), int(h2[chosen[r]]), base + a, base + z) for base in places.tolist() for a, z in runs)
+            # the stretch may stand in its document several times
+            here = slice(chosen[r], final[r] + 1)
+            places = set(zip(h1[here].tolist(), h2[here].tolist(), (start[here] + (lo[r] - begin[r])).tolist(), strict=True))
+            got.extend((x1, x2, base + a, base + z) for x1, x2, base in places for a, z in runs)
     if got:
         yield tuple(np.array(c, np.int64) for c in zip(*got, strict=True))
 
@@ -294,12 +295,15 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
     ends = found.groupBy("fp").agg(*[f(c).alias(f.__name__ + c) for c in ("h1", "h2") for f in (F.min, F.max)])
     shared = found.join(ends.filter("minh1 < maxh1 or minh2 < maxh2").select("fp"), "fp", "left_semi").select("h1", "h2", "pos")
     same = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or(F.col("doc_id").isNull()).alias("c"))
-    whole = same.filter("a < b or (c and a is not null)").select("h1", "h2", F.lit(-1).cast("long").alias("pos"))
+    same = same.withColumn("several", F.expr("coalesce(a < b, false) or (c and a is not null)"))
+    whole = same.filter("several").select("h1", "h2", F.lit(-1).cast("long").alias("pos"))
     wanted = shared.unionByName(whole).groupBy("h1", "h2").agg(F.collect_set("pos").alias("pos"))
     # of equal texts, the one with the least doc_id is read again
-    wanted = wanted.join(same.select("h1", "h2", F.col("a").alias("doc_id")), ["h1", "h2"]).hint("shuffle_hash")
+    # texts of the same document alone don't repeat each other: it owns them all
+    owner = F.when(F.col("several"), F.col("h1")).otherwise(F.xxhash64(F.lit(2), "a")).alias("owner")
+    wanted = wanted.join(same.select("h1", "h2", F.col("a").alias("doc_id"), owner), ["h1", "h2"]).hint("shuffle_hash")
     mine = [keyed["h1"] == wanted["h1"], keyed["h2"] == wanted["h2"], keyed["doc_id"].eqNullSafe(wanted["doc_id"])]
-    texts = keyed.join(wanted, mine).select(keyed["h1"], keyed["h2"], keyed["text"], wanted["pos"])
+    texts = keyed.join(wanted, mine).select(keyed["h1"], keyed["h2"], keyed["text"], wanted["pos"], wanted["owner"])
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,7 +311,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
                 n = hi - lo
                 row, h, _, _ = tk.words(*tk.raw(b.column(2).slice(lo, n)))
                 begin = _word_start(row, n)
-                h1, h2 = (b.column(i).to_numpy()[lo:hi] for i in (0, 1))
+                h1, h2, own = (b.column(i).to_numpy()[lo:hi] for i in (0, 1, 4))
                 listed = b.column(3).slice(lo, n)
                 of = np.repeat(np.arange(n), listed.value_lengths().to_numpy())
                 pos = listed.flatten().to_numpy()
@@ -322,18 +326,18 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
                 bounds = np.concatenate([[0], np.cumsum(size)]) * 4
                 blob = pa.Array.from_buffers(pa.large_binary(), size.size, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(token)]).cast(pa.binary())
                 where = row[index]
-                columns = [pa.array(value.view(np.int64)), pa.array(h1[where]), pa.array(h2[where]), pa.array(first - begin[where]), pa.array(np.zeros(size.size, np.int64)), blob]
-                names = ["fp", "h1", "h2", "start", "whole", "stretch"]
+                columns = [pa.array(value.view(np.int64)), pa.array(own[where]), pa.array(h1[where]), pa.array(h2[where]), pa.array(first - begin[where]), pa.array(np.zeros(size.size, np.int64)), blob]
+                names = ["fp", "owner", "h1", "h2", "start", "whole", "stretch"]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 if full.size:
                     empty = pa.array([b""] * full.size, pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[full]), pa.array(h1[full]), pa.array(h2[full]), pa.array(np.zeros(full.size, np.int64)), pa.array(np.diff(begin)[full]), empty], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[full]), pa.array(own[full]), pa.array(h1[full]), pa.array(h2[full]), pa.array(np.zeros(full.size, np.int64)), pa.array(np.diff(begin)[full]), empty], names)
 
-    cutout = texts.mapInArrow(stretches, "fp long, h1 long, h2 long, start long, whole long, stretch binary").withColumn("same", F.xxhash64("stretch"))
+    cutout = texts.mapInArrow(stretches, "fp long, owner long, h1 long, h2 long, start long, whole long, stretch binary").withColumn("same", F.xxhash64("stretch"))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            c = {n: t.column(n).to_numpy() for n in ("fp", "same", "h1", "h2", "start", "whole")}
+            c = {n: t.column(n).to_numpy() for n in ("fp", "same", "owner", "h1", "h2", "start", "whole")}
             is_whole = c["whole"] > 0
             if is_whole.any():
                 yield record(c["h1"][is_whole], c["h2"][is_whole], c["start"][is_whole], c["whole"][is_whole])
@@ -342,7 +346,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
                 return
             data, bounds = tk.raw(t.column("stretch").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
             rest = {n: c[n][~is_whole] for n in c}
-            for got in _segments(rest["fp"], rest["same"], rest["h1"], rest["h2"], rest["start"], np.diff(bounds) // 4, np.frombuffer(data.tobytes(), np.uint32), least):
+            for got in _segments(rest["fp"], rest["same"], rest["owner"], rest["h1"], rest["h2"], rest["start"], np.diff(bounds) // 4, np.frombuffer(data.tobytes(), np.uint32), least):
                 yield record(*got)
 
         def record(h1: np.ndarray, h2: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -362,24 +366,24 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, k: int = K, hot:
                 yield from spans(t.slice(0, last))
             t = t.slice(last)
             if t.num_rows > hot:  # a hot bucket: stretches of several texts are told at once, two rows of each go on
-                a, s, x, y, at = (t.column(n).to_numpy() for n in ("fp", "same", "h1", "h2", "start"))
+                a, s, own, x, y, at = (t.column(n).to_numpy() for n in ("fp", "same", "owner", "h1", "h2", "start"))
                 first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
                 ends = np.concatenate([first[1:], [a.size]]) - 1
-                multi = (x[first] != x[ends]) | (y[first] != y[ends])
+                multi = own[first] != own[ends]
                 hit = np.repeat(multi, ends - first + 1)
                 if hit.any():
                     told = t.filter(pa.array(hit))
                     begin = told.column("start").to_numpy()
                     yield record(told.column("h1").to_numpy(), told.column("h2").to_numpy(), begin, begin + np.array([len(z) // 4 for z in told.column("stretch").to_pylist()], np.int64))
-                # two rows of different texts stand for a stretch of several; of one text's, each place goes on once
-                place = np.concatenate([[True], (s[1:] != s[:-1]) | (at[1:] != at[:-1])]) & ~hit
+                # two rows of different documents stand for a stretch of several; of one document's, each place goes on once
+                place = np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (at[1:] != at[:-1])]) & ~hit
                 keep = np.unique(np.concatenate([first, ends[multi], np.flatnonzero(place)]))
                 t = t.take(pa.array(keep))
             held, rows = t.combine_chunks().to_batches(), 0
         if held:
             yield from spans(pa.Table.from_batches(held))
 
-    order = ["fp", "same", "h1", "h2", "start"]
+    order = ["fp", "same", "owner", "h1", "h2", "start"]
     spans = cutout.repartition("fp").sortWithinPartitions(*order).mapInArrow(resolve, "h1 long, h2 long, start long, end long")
     here = Window.partitionBy("h1", "h2").orderBy("start", "end")
     marked = spans.withColumn("reach", F.max("end").over(here.rowsBetween(Window.unboundedPreceding, -1)))
