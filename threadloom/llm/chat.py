@@ -7,8 +7,9 @@ completion is trainable.  One shuffle brings a conversation together; the rest i
 Defined results: rows that are equal in all four columns count once; turns with the same number
 follow by role and text, nulls last; a null text is empty, a null role is `unknown` (never a reply);
 a null conv_id is a conversation of its own; a conversation without a reply gives nothing; the
-opening mark `<|` inside a text is written `< |`, so that a text can't forge a turn; extra columns
-are left out, whatever their names.
+opening mark `<|` inside a text or a role is written `< |`, and the closing mark `|>` inside a role
+`| >`, so that neither can forge a turn; extra columns are left out, whatever their names.  The longest
+prompt is all of a conversation, so a conversation must fit a row; nothing else is held together.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from threadloom.llm.common import pick
 
 
 def _header(role: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"))
+    return F.concat(F.lit("<|"), F.replace(F.replace(role, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >")), F.lit("|>\n"))
 
 
 def prefix_examples(conversations: DataFrame, reply_role: str = "assistant") -> DataFrame:
@@ -43,7 +44,7 @@ SQL = """
     with turns as (
         select distinct conv_id, turn, role, text from conversations
     ), said as (
-        select *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) as body from turns
+        select *, '<|' || replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') || '|>' || chr(10) as head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) as body from turns
     ), placed as (
         select conv_id, turn, role, head, body as completion,
             row_number() over w - 1 as context_turns,
