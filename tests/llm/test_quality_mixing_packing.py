@@ -128,6 +128,25 @@ def test_few_sizes_are_solved_to_the_optimum():
     assert amounts.sum() == pytest.approx(40.0)  # prices 2/3, 1/3, 1/3 fit every configuration and are worth 40
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(10, 100), st.integers(1, 40)), min_size=1, max_size=6, unique_by=lambda x: x[0]))
+def test_both_pivot_rules_reach_the_same_optimum(pieces):
+    sizes, demand = [s for s, _ in sorted(pieces, reverse=True)], np.array([float(d) for _, d in sorted(pieces, reverse=True)])
+    patterns = packing.configurations(sizes, 100)
+    _, greedy = packing.solve(patterns, demand)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(packing, "GREEDY", 0)
+        columns, amounts = packing.solve(patterns, demand)
+    assert amounts.sum() == pytest.approx(greedy.sum())
+    assert (columns.T @ amounts >= demand - 1e-6).all()
+
+
+def test_a_lost_optimum_is_an_error(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_PIVOTS", 0)
+    with pytest.raises(ArithmeticError):
+        packing.solve(packing.configurations([6, 4, 3], 10), np.array([30.0, 30.0, 30.0]))
+
+
 def test_every_token_is_packed_once(spark):
     data = [(i, "w " * (i * 131 % 900), "en", "s", 1) for i in range(400)] + [(1000, "w " * 5000, "en", "s", 1), (1001, None, "en", "s", 1), (1002, " \n", "en", "s", 1), (None, "a b", "en", "s", 1), (3, "w w", "en", "s", 1)]
     df = spark.createDataFrame(data, DOCS).selectExpr("*", "1 as n", "2 as shard", "3 as `a.b`")

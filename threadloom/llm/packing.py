@@ -14,8 +14,8 @@ Shards are hashes of doc_id and hold about `SHARD_ITEMS` documents, so a shard's
 pieces at any corpus size, and the work grows in proportion to the input.
 
 Defined results: null texts and texts without tokens don't appear; repeated rows are packed
-separately; of pieces of equal length the least doc_id (nulls last) goes first; extra columns are
-left out; an empty table gives no packs.
+separately; of pieces of equal length the least doc_id (nulls last) goes first; doc_id must be a whole
+number; extra columns are left out; an empty table gives no packs.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import cut, pick
 
 CAPACITY, GROUPS, SMALL, SHARD_ITEMS = 2048, 12, 8, 20_000
+GREEDY, MOST_PIVOTS = 400, 20_000
 
 
 def configurations(sizes: list[int], capacity: int) -> np.ndarray:
@@ -55,7 +56,9 @@ def solve(patterns: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndar
     """min sum(x) with patterns.T @ x >= demand: (indexes, amounts) of an optimal basis.
 
     Revised simplex; it starts from the patterns that hold most of each size. Patterns may be used
-    with fewer pieces than they hold, so single-size columns with a surplus are allowed for.
+    with fewer pieces than they hold, so single-size columns with a surplus are allowed for. The
+    pattern worth most enters; after `GREEDY` pivots the first that is worth enough (Bland's rule), so
+    that it can't go round in circles. No price is left above 1 at the end, or an error is raised.
     """
     k = demand.size
     basis = np.array([int(patterns[:, i].argmax()) for i in range(k)])
@@ -63,24 +66,24 @@ def solve(patterns: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndar
     for i, b in enumerate(basis):
         matrix[i, i] = patterns[b, i]  # the pattern with only this size: it holds no more than the pattern
     columns = matrix.T.copy()
-    for _ in range(400):
+    order = np.arange(k) - k  # numbers of the columns, as Bland's rule needs
+    for pivots in range(MOST_PIVOTS):
         inverse = np.linalg.inv(columns.T)
         x = inverse @ demand
         price = np.maximum(np.ones(k) @ inverse, 0)
         value = patterns @ price
         best = int(value.argmax())
         if value[best] <= 1 + 1e-9:
-            break
+            return columns, np.maximum(np.linalg.solve(columns.T, demand), 0)
+        if pivots >= GREEDY:
+            best = int((value > 1 + 1e-9).argmax())
         direction = inverse @ (patterns[best] * (price > 1e-12))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(direction > 1e-9, x / direction, np.inf)
-        leave = int(ratio.argmin())
-        if not np.isfinite(ratio[leave]):
-            break
-        columns[leave] = patterns[best] * (price > 1e-12)
-        if abs(np.linalg.det(columns)) < 1e-9:
-            break
-    return columns, np.maximum(np.linalg.solve(columns.T, demand), 0)
+        tied = np.flatnonzero(ratio <= ratio.min() + 1e-12)
+        leave = int(tied[order[tied].argmin()]) if pivots >= GREEDY else int(ratio.argmin())
+        columns[leave], order[leave] = patterns[best] * (price > 1e-12), best
+    raise ArithmeticError(f"no optimum of {k} sizes after {MOST_PIVOTS} pivots")
 
 
 def pack(length: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
