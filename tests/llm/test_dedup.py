@@ -37,6 +37,26 @@ def test_exact_copies(spark, rows):
     assert exact.drop_exact(df.limit(0)).count() == 0 and exact.exact_copies(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_a_fingerprint_and_repeated_rows(spark, rows, monkeypatch):
+    """All texts under one fingerprint: they are told apart by their bytes."""
+    data = [(i % 5, "ab"[i % 2], "s") for i in range(40)] + [(None, "a", "s"), (None, "a", "s"), (9, "c", "s"), (-3, None, "s")]
+    df = spark.createDataFrame(data, DOCS)
+    sql = """select doc_id, keep_id from (select doc_id, row_number() over w as rank, first_value(doc_id) over w as keep_id
+        from documents where text is not null window w as (partition by text order by doc_id nulls last)) where rank > 1"""
+    want = sorted(by_sql(sql, documents=df), key=repr)
+    assert rows(exact.exact_copies(df)) == want and len(want) == 40
+    split = exact._split
+
+    def shared(docs):
+        single, several, names = split(docs)
+        return single, several.withColumn("fp", several["fp"] * 0), names
+
+    monkeypatch.setattr(exact, "_split", shared)
+    assert rows(exact.exact_copies(df)) == want
+    many = spark.range(70_000).selectExpr("1L as doc_id", "'t' as text", "'s' as source")
+    assert exact.exact_copies(many).count() == 69_999
+
+
 # --- near copies -----------------------------------------------------------------------------
 
 

@@ -4,12 +4,15 @@ Every partition puts the 64-bit fingerprints of its texts into a counting quotie
 bits (quotient) choose a run, the low bits (remainder) are stored, sorted within the run, with a
 counter where a fingerprint came more than once.  Quotient and remainder together are the whole
 fingerprint, so filters of any size merge without loss, as sorted streams.  The filters are cut
-into segments by their highest bits; segments of a range meet in one task.  Only texts whose merged
-count is above one are compared byte by byte.
+into segments by their highest bits, as many as keep a segment at about `SEGMENT` fingerprints; segments
+of a range meet in one task.  Only texts whose merged count is above one are compared byte by byte: the
+least and the greatest text of a fingerprint, found by partial sums in every partition, are equal bytes
+unless different texts share it, which are then told apart one by one.  So a text that is a third of all
+rows is never brought together in a task.
 
 Defined results: a null text equals no other and stays; the empty text is a text like any other; of
 equal texts the row with the least doc_id (nulls last) stays; repeated rows are copies of each
-other; extra columns are carried, whatever their names; an empty table gives an empty result.
+other; doc_id may be of any type with an order; extra columns are carried, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut, parallelism, pick, small_or_hashed
 
+SEGMENT = 1 << 20
+
 
 @dataclass
 class CountingQuotientFilter:
@@ -100,7 +105,7 @@ class CountingQuotientFilter:
 
 def repeated_fingerprints(texts: DataFrame, segments: int | None = None) -> DataFrame:
     """(fp, copies) of the fingerprints of `texts.fp` (nulls ignored) that occur more than once."""
-    segments = segments or parallelism(texts.sparkSession)
+    segments = segments or max(parallelism(texts.sparkSession), -(-texts.count() // SEGMENT))
     bits = max(1, (segments - 1).bit_length())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +151,17 @@ def drop_exact(docs: DataFrame) -> DataFrame:
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id): each row that goes as a copy, with the doc_id of the row that stays for it."""
     docs = pick(docs, "doc_id", "text")
-    _, several, _ = _split(docs)
-    window, _, key = _order(docs)
-    ranked = several.select(F.col(key).alias("doc_id"), F.row_number().over(window).alias("rank"), F.first(key).over(window).alias("keep_id"))
-    return ranked.filter("rank > 1").select("doc_id", "keep_id")
+    _, several, names = _split(docs)
+    several = several.select("fp", F.col(names[0]).alias("doc_id"), F.col(names[1]).alias("text"))
+    # min ignores nulls, so a null doc_id is the last
+    told = cut(several.groupBy("fp").agg((F.min("text") == F.max("text")).alias("alike"), F.min("doc_id").alias("keep_id")))
+    rows = several.select("fp", "doc_id").join(small_or_hashed(told.filter("alike").select("fp", "keep_id"), 32), "fp")
+    gone = rows.filter("not doc_id <=> keep_id").select("doc_id", "keep_id")
+    # of the rows of the document that stays, one stays; the others are counted first, as they are alike
+    again = rows.filter("doc_id <=> keep_id").groupBy("fp", "doc_id").agg((F.count("*") - 1).alias("n")).filter("n > 0")
+    again = again.select("doc_id", "n", F.explode(F.expr("sequence(0L, n - 1, 65536L)")).alias("at"))
+    again = again.select("doc_id", F.explode(F.expr("sequence(1L, least(65536L, n - at))"))).select("doc_id", F.col("doc_id").alias("keep_id"))
+    window = Window.partitionBy("fp", "text").orderBy(F.asc_nulls_last("doc_id"))
+    odd = several.join(small_or_hashed(told.filter("not alike").select("fp"), 16), "fp", "left_semi")
+    odd = odd.select("doc_id", F.row_number().over(window).alias("rank"), F.first("doc_id").over(window).alias("keep_id")).filter("rank > 1")
+    return gone.unionByName(again).unionByName(odd.select("doc_id", "keep_id"))
