@@ -67,8 +67,9 @@ def test_seats_go_to_the_highest_quotients(parties, seats):
 def test_mixture_by_hand(spark):
     texts = [(i, "w " * (1 + i * 7 % 23), "en", ("big", "small", None)[0 if i % 10 else 1 + i % 20 // 10], 1) for i in range(300)]
     df = spark.createDataFrame([*texts, texts[0], (None, "a b", "en", "big", 1), (900, None, "en", "big", 1), (901, "", "en", "none", 1)], DOCS).selectExpr("*", "1 as shard", "2 as tokens", "3 as `a.b`")
-    settings_ = {"block": 40, "shards": 2}
-    units = mixing.blocked(df, 40, 2).toPandas()
+    settings_ = {"block": 40, "shard_blocks": 30}
+    units = mixing.blocked(df, 40, 30).toPandas()
+    assert units.groupby("source", dropna=False)["shard"].nunique().to_dict()["big"] > 1
     assert units["tokens"].sum() == sum(t[1].count("w") for t in texts) + texts[0][1].count("w") + 2
     blocks = units.groupby(["source", "shard", "block"], dropna=False)["tokens"].sum().reset_index()
     taken = mixing.mix(df, **settings_).toPandas()
@@ -85,6 +86,17 @@ def test_mixture_by_hand(spark):
     assert mixing.take(df.limit(0)).count() == 0
 
 
+def test_a_block_counts_by_its_tokens(spark):
+    """A source of long documents gets no more tokens for its seats than one of short ones."""
+    long = [(i, "w " * 900, "en", "long", 1) for i in range(60)]
+    short = [(1000 + i, "w " * 30, "en", "short", 1) for i in range(1800)]
+    df = spark.createDataFrame([*long, *short, (5000, "w " * 50_000, "en", "one", 1)], DOCS)
+    got = mixing.mix(df, weights={"long": 1, "short": 1, "one": 1}, fraction=0.5, block=100).groupBy("source").agg({"tokens": "sum"}).collect()
+    tokens = {r.source: r[1] for r in got}
+    # 1580 blocks in all, 790 seats: 264 and two of 263, in whole documents
+    assert abs(tokens["long"] - 26_400) <= 900 and abs(tokens["short"] - 26_400) <= 800 and tokens["one"] == 50_000
+
+
 # --- packing ---------------------------------------------------------------------------------
 
 

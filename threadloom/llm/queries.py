@@ -95,23 +95,26 @@ ORACLE_SQL = {
             select source, doc_id, cast(sum(case when text is null then 0 else len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) end) as bigint) as tokens
             from documents group by source, doc_id
         ), keyed as (
-            select *, md5('{mixing.SEED}|' || coalesce(cast(doc_id as varchar), '')) as key from units
+            select *, md5('{mixing.SEED}|' || coalesce(cast(doc_id as varchar), '')) as key,
+                cast(floor(sum(tokens) over (partition by source) / {mixing.BLOCK * mixing.SHARD_BLOCKS}) as bigint) + 1 as shards from units
         ), sharded as (
-            select *, cast('0x' || substr(key, 1, 7) as bigint) % {mixing.SHARDS} as shard from keyed
+            select *, cast('0x' || substr(key, 1, 15) as bigint) % shards as shard from keyed
         ), placed as (
             select doc_id, source, shard, tokens, cast(floor(coalesce(sum(tokens) over (partition by source, shard order by key, doc_id nulls last rows between unbounded preceding and 1 preceding), 0) / {mixing.BLOCK}) as bigint) as block
             from sharded
-        ), blocks as (
+        ), filled as (
             select source, shard, block, sum(tokens) as tokens from placed group by all
+        ), blocks as (
+            select *, greatest(1, coalesce(lead(block) over (partition by source, shard order by block), cast(ceil(sum(tokens) over (partition by source, shard) / {mixing.BLOCK}) as bigint)) - block) as seats from filled
         ), sources as (
-            select source, count(*) as n, round(pow(cast(sum(tokens) as double), {mixing.ALPHA})) as weight from blocks group by source
+            select source, sum(seats)::bigint as n, round(pow(cast(sum(tokens) as double), {mixing.ALPHA})) as weight from blocks group by source
         ), seats as (
             select source, row_number() over (order by weight / (2 * k + 1) desc, source nulls last) as seat
             from (select source, weight, unnest(range(n)) as k from sources)
         ), source_quota as (
             select source, count(*) as quota from seats where seat <= (select floor({mixing.FRACTION} * sum(n)) from sources) group by source
         ), shards as (
-            select source, shard, count(*) as n from blocks group by all
+            select source, shard, sum(seats)::bigint as n from blocks group by all
         ), shard_seats as (
             select source, shard, row_number() over (partition by source order by n / (2 * k + 1) desc, shard) as seat
             from (select source, shard, n, unnest(range(n)) as k from shards)
@@ -120,11 +123,11 @@ ORACLE_SQL = {
             from shard_seats s join source_quota q on s.source is not distinct from q.source
             where s.seat <= q.quota group by all
         ), ranked as (
-            select source, shard, block, row_number() over (partition by source, shard order by md5('{mixing.SEED}|' || coalesce(source, '') || '|' || shard || '|' || block), block) as rank from blocks
+            select source, shard, block, coalesce(sum(seats) over (partition by source, shard order by md5('{mixing.SEED}|' || coalesce(source, '') || '|' || shard || '|' || block), block rows between unbounded preceding and 1 preceding), 0) as before from blocks
         )
         select p.doc_id, p.source, p.shard, p.block, p.tokens
         from placed p
         join ranked r on p.source is not distinct from r.source and p.shard = r.shard and p.block = r.block
         join shard_quota q on r.source is not distinct from q.source and r.shard = q.shard
-        where r.rank <= q.quota""",
+        where r.before < q.quota""",
 }
