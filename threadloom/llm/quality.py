@@ -7,9 +7,11 @@ shallow tree on the feature's bins, fitted to the residuals of the logistic loss
 table; the strongest pairs are boosted afterwards in the same way.  Scoring adds up table entries of
 whole batches.  The target is quality 1 and toxic 0.
 
-Training uses at most `SAMPLE` labelled documents, the least by a seeded hash of doc_id, and no more
-than `LEXICON` words; everything else reads every document. Words in `MIN_DOCS` sampled documents or
-more, most of them toxic, make up the lexicon.
+Training uses at most `SAMPLE` labelled documents, the least by a seeded hash of doc_id (of several rows
+of a doc_id the least text); everything else reads every document.  Words in `MIN_DOCS` sampled documents
+or more, most of them toxic, make up the lexicon.  As the lexicon comes from the labels, a document to
+train on is measured with the lexicon of the other two of three folds, so that the model learns what a
+listed word is worth in a document that it wasn't listed for; texts to score meet the lexicon of all.
 
 Defined results: a null text and a text without a word are rejected; several labels of a document
 count as their worst; null labels are ignored; without labels of both kinds every text with a word
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.common import cut, pick
+from threadloom.llm.common import cut, pick, small_or_hashed
 
-SAMPLE, LEXICON, MIN_DOCS, SEED = 20_000, 4_096, 4, 7
+SAMPLE, MIN_DOCS, SEED, FOLDS = 20_000, 4, 7, 3
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE = 150, 60, 0.15
 THRESHOLD = 0.5
@@ -190,12 +192,23 @@ class AdditiveModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text, good, toxic) of the sampled labelled documents."""
+    """(doc_id, text, good, toxic, fold) of the sampled labelled documents."""
     labels = pick(labels, "doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     texts = pick(docs, "doc_id", "text").filter("text is not null")
-    some = labels.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(size)
+    some = small_or_hashed(cut(labels.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(size)), 32)
     good = (F.col("quality") > 0) & (F.col("toxic") <= 0)
-    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", good.cast("int").alias("good"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    rows = texts.join(some, "doc_id").select("doc_id", "text", good.cast("int").alias("good"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return rows.groupBy("doc_id", "good", "toxic").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
+
+
+def lexicons(words: np.ndarray, documents: np.ndarray, toxic: np.ndarray, least: int = MIN_DOCS) -> list[np.ndarray]:
+    """Sorted listed words without each fold in turn, and of all; rows are words, columns counts by fold."""
+    out = []
+    for left in [*range(documents.shape[1]), None]:
+        others = [f for f in range(documents.shape[1]) if f != left]
+        n, t = documents[:, others].sum(1), toxic[:, others].sum(1)
+        out.append(np.sort(words[(n >= least) & (t >= 0.7 * n)]))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> AdditiveModel:
@@ -205,19 +218,25 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> AdditiveMod
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, h = tk.distinct(*tk.words(*tk.raw(b.column(0)))[:2])
-            toxic = b.column(1).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic.astype(np.int32))], ["word", "toxic"])
+            columns = [pa.array(b.column(i).to_numpy()[row].astype(np.int32)) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *columns], ["word", "toxic", "fold"])
 
-    words = sample.select("text", "toxic").mapInArrow(vocabulary, "word long, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    bad = words.filter((F.col("n") >= MIN_DOCS) & (F.col("t") >= 0.7 * F.col("n"))).orderBy(F.desc("t"), "word").limit(LEXICON)
-    lexicon = np.sort(np.array([r[0] for r in bad.select("word").collect()], np.int64).view(np.uint64))
+    words = sample.select("text", "toxic", "fold").mapInArrow(vocabulary, "word long, toxic int, fold int")
+    counts = [f(F.when(F.col("fold") == k, x)).alias(f"{c}{k}") for k in range(FOLDS) for c, f, x in (("n", F.count, F.lit(1)), ("t", F.sum, F.col("toxic")))]
+    # a word that no fold's lexicon can have stays where it is
+    counted = words.groupBy("word").agg(*counts, F.count("*").alias("n"), F.sum("toxic").alias("t")).filter((F.col("n") >= MIN_DOCS) & (F.col("t") >= 0.7 * MIN_DOCS)).toPandas().fillna(0)
+    by_fold = [counted[[f"{c}{k}" for k in range(FOLDS)]].to_numpy(np.int64) for c in "nt"]
+    *without, lexicon = lexicons(counted["word"].to_numpy(np.int64).view(np.uint64), *by_fold)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(1), lexicon)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x)), b.column(2)], ["doc_id", "x", "good"])
+            fold = b.column(3).to_numpy()
+            for k in np.unique(fold):
+                mine = pa.array(fold == k)
+                x = features(b.column(1).filter(mine), without[k])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(mine), pa.array(list(x), pa.list_(pa.float64())), b.column(2).filter(mine)], ["doc_id", "x", "good"])
 
-    rows = sample.select("doc_id", "text", "good").mapInArrow(measured, "doc_id long, x array<double>, good int").orderBy("doc_id", "x").toPandas()
+    rows = sample.select("doc_id", "text", "good", "fold").mapInArrow(measured, "doc_id long, x array<double>, good int").orderBy("doc_id", "x").toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, len(FEATURES)))
     some = ~np.isnan(x[:, 0])
     return AdditiveModel.fit(x[some], rows["good"].to_numpy(float)[some], lexicon)
