@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from threadloom import queries
+from threadloom import code_queries, more_queries, queries  # noqa: F401 (they add their queries)
 
 SF = "/root/testdata/sf0.001"
 

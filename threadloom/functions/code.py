@@ -262,6 +262,13 @@ def count_node_types(df: DataFrame, column: str, prefix: str = "node_count", str
     return _with(df, column, strict, fail, lambda a: {f"{column}_{prefix}|{n}Counter": a["counts"][n] for n in NODE_COUNTERS if n not in UNREGISTERED_NODES})
 
 
+def count_all(df: DataFrame, column: str, strict: bool = True, fail: bool = False) -> DataFrame:
+    """The columns of `count_node_types` and `count_operators`, from one parse."""
+    nodes = {f"{column}_node_count|{n}Counter": ("counts", n) for n in NODE_COUNTERS if n not in UNREGISTERED_NODES}
+    found = {f"{column}_operator_count|{n}OperatorCounter": ("operators", n) for n in OPERATORS if n not in UNREGISTERED_OPERATORS}
+    return _with(df, column, strict, fail, lambda a: {name: a[kind][n] for name, (kind, n) in {**nodes, **found}.items()})
+
+
 def count_operators(df: DataFrame, column: str, prefix: str = "operator_count", fail: bool = False) -> DataFrame:
     """A column `<column>_<prefix>|<Name>OperatorCounter` for each registered operator."""
     return _with(df, column, True, fail, lambda a: {f"{column}_{prefix}|{n}OperatorCounter": a["operators"][n] for n in OPERATORS if n not in UNREGISTERED_OPERATORS})

@@ -125,6 +125,14 @@ def priced(df: DataFrame, model: str = "model", tokens: str = "total_tokens") ->
     return joined.withColumn("estimated_cost", F.col(tokens) / 1000 * F.col("_price")).drop("_model", "_price")
 
 
+def batch_totals(df: DataFrame, model: str = "model", tokens: str = "total_tokens") -> DataFrame:
+    """(model, requests, total_tokens, estimated_cost) of a batch, and a row for all of it with a null model; the cost of unknown models is null and adds nothing."""
+    made = priced(df.select(F.col(model).alias("model"), F.col(tokens).alias("total_tokens")))
+    sums = [F.count("*").alias("requests"), F.sum("total_tokens").alias("total_tokens"), F.sum("estimated_cost").alias("estimated_cost")]
+    by = made.groupingSets([["model"], []], "model").agg(F.grouping("model").alias("_all"), *sums)
+    return by.select(F.when(F.col("_all") == 0, F.coalesce("model", F.lit("unknown"))).alias("model"), "requests", "total_tokens", "estimated_cost")
+
+
 def error_class(text: Column) -> Column:
     """rate_limit and overloaded are tried again, api is not; null is success."""
     return F.when(text.isNull(), None).when(text.contains("Rate limit"), "rate_limit").when(text.contains("currently overloaded"), "overloaded").otherwise("api")

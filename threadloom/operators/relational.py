@@ -70,14 +70,12 @@ def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.agg(F.count_if(a == b).alias("same"), F.count("*").alias("total"))
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
-    """(child, parent) for all ancestors, by repeated joins; cycles end by themselves."""
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(child, parent) for all ancestors, by joins that double the distance each time, until nothing is new; cycles end by themselves."""
     known = checkpointed(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())
-    base, fresh = known, known
-    for _ in range(most):
-        step = fresh.alias("f").join(base.alias("b"), F.col("f.parent") == F.col("b.child")).select("f.child", "b.parent").distinct()
-        fresh = checkpointed(step.join(known, ["child", "parent"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        known = checkpointed(known.unionByName(fresh))
-    return known
+    size = known.count()
+    while True:
+        step = known.toDF("child", "by").join(known.toDF("by", "parent"), "by").select("child", "parent")
+        known = checkpointed(known.unionByName(step).distinct())
+        if size == (size := known.count()):
+            return known

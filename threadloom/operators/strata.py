@@ -69,7 +69,8 @@ def create_stratas(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Dat
 
 
 def _place(columns: Sequence[str], key: str, seed: int) -> Column:
-    return F.row_number().over(Window.partitionBy(*columns).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    # in the order of a digest that other engines have too
+    return F.row_number().over(Window.partitionBy(*columns).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key))
 
 
 def stratified_sample(df: DataFrame, columns: Sequence[str], n: int, key: str, seed: int = 0) -> DataFrame:

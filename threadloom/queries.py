@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import code, messages, text, validate, vectors
+from threadloom.functions import messages, text, validate, vectors
 from threadloom.operators import cluster, generate, relational, search, strata, thread
 from threadloom.plans import topics
 from threadloom.plans.topics import topic_features
@@ -361,7 +361,11 @@ def scaled(spark, sf):
     return _elements(table(spark, sf, "embeddings"), vectors.scaled(F.col("embedding").cast("array<double>"), 2.0))
 
 
-@query()
+@query(
+    "with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), u as (select vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from v), near as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.v, b.v) >= 0.4), "
+    "reach as (select vec_id as a, vec_id as b from v union select r.a, n.b from reach r join near n on r.b = n.a), roots as (select a as vec_id, min(b) as root, count(*) as n from reach group by 1), numbers as (select root, row_number() over (order by root) - 1 as cluster from (select distinct root from roots where n > 1)) "
+    "select vec_id, cast(coalesce(cluster, -1) as integer) as cluster from roots left join numbers using (root)"
+)
 def cluster_embeddings(spark, sf):
     """Connected components of the pairs with cosine of 0.4 and more; -1 for those on their own."""
     return cluster.density(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.4, 2)
@@ -512,12 +516,15 @@ def joint_strata(spark, sf):
     return strata.joint(table(spark, sf, "documents"), ["lang", "source"], "stratum").select("doc_id", F.col("stratum").cast("long").alias("stratum"))
 
 
-@query()
+_SAMPLED = "select doc_id, lang, source, row_number() over (partition by lang order by md5('0|' || doc_id), doc_id) as place, count(*) over (partition by lang) as size, count(*) over () as total from documents"
+
+
+@query(f"select doc_id, lang, source from ({_SAMPLED}) where place <= ceil(size * 100 / total)")
 def stratified_sample(spark, sf):
     return strata.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang"], 100, "doc_id")
 
 
-@query()
+@query(f"select doc_id, lang, cast((place - 1) % 5 as integer) as fold from ({_SAMPLED})")
 def stratified_folds(spark, sf):
     return strata.stratified_folds(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], 5, "doc_id")
 
@@ -545,21 +552,7 @@ def topic_join(spark, sf):
     return topic_features(df, clusters, lambda grouped: grouped.withColumn("topic_length", F.length("content"))).select("conversation_id", "seq", "cluster", F.col("topic_length").cast("long").alias("topic_length"))
 
 
-# --- code ------------------------------------------------------------------------------------
-
-SNIPPETS = [
-    "import os\nfrom . import a\n\ndef f(x, y=1):\n    if x and y or not x:\n        return [i for i in x]\n    return lambda z: z * 2\n",
-    "class A(B):\n    '''Doc.'''\n\n    def g(self, a: int) -> int:\n        a += 1; b = a[1:2]\n        return a\n",
-    "def broken(:\n",
-    "",
-]
-
-
-@query()
-def code_counters(spark, sf):
-    """Counts of the syntax in a table of snippets."""
-    df = spark.createDataFrame(list(enumerate(SNIPPETS)), "id int, code string")
-    return code.count_operators(code.count_node_types(df, "code"), "code")
+# --- topics ---------------------------------------------------------------------------------
 
 
 @query()
