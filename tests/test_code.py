@@ -1,3 +1,7 @@
+import ast
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +96,24 @@ def test_visitors_and_blocks(spark):
     assert code.apply_visitor(df, "code", Length, "int").first()["code_None|Length"] == 28
     got = df.select(text.python_blocks(F.col("code")).alias("b")).first().b
     assert [(b["first_line"], b["kind"]) for b in got] == [(0, "python"), (1, "text"), (2, "python")]
+
+
+def test_minified_code_means_the_same(spark):
+    source = "import os\nimport sys\n\n\nclass A(object):\n    x: int = 1\n\n    def f(self, a: int, b: str = 'k') -> int:\n        '''Doc.'''\n        y: int = a  if a else 1\n        pass\n        return f'{ y!r:>10} {{}}' + b\n\n\ndef g():\n    pass\n"
+    (r,) = spark.createDataFrame([(source,)], "a string").select(code.minified("a").alias("m")).collect()
+    assert r.m == "import os,sys\nclass A:\n x: int=1\n def f(self,a,b='k'):\n  \"\"\"Doc.\"\"\"\n  y=a if a else 1\n  return f'{y!r:>10} {{}}'+b\ndef g():\n pass".replace("x: int", "x:int")
+    for p in glob.glob(os.path.join(os.path.dirname(code.__file__), "*.py")):
+        text = open(p).read()
+        small = code._minified(text)
+        assert len(small) < len(text)
+        assert ast.dump(ast.parse(small)) == ast.dump(ast.parse(ast.unparse(ast.fix_missing_locations(code._Smaller().visit(ast.parse(text))))))
+
+
+def test_related_code(spark):
+    from threadloom.operators import relational
+
+    rows = [(1, "def area(x):\n    return square(x) + half(x) + print(x)\n"), (2, "def square(x):\n    return x * x\n"), (3, "def halfway(x):\n    return x / 2\n"), (4, "def half(x):\n    return x\n"), (5, "x = ("), (6, None)]
+    df = spark.createDataFrame(rows, "id long, code string")
+    got = {r.id: r.code_with_related_prompt for r in relational.with_related_code(df, "id", "code").collect()}
+    assert got[1] == rows[0][1] + "\n\n Related Code: " + rows[1][1] + "\n\n" + rows[2][1]
+    assert {k: v for k, v in got.items() if k != 1} == dict(rows[1:])

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,50 @@ def test_streamed_windows(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [60]  # the second hour is still open
     assert windows.sessions(df, "ts", "2 minutes", [F.count("*").alias("n")], []).first().n == 120
     assert windows.interval_join(df, df, "id", "ts", "ts", "1 minute").count() == 120
+
+
+def test_limits_are_kept_and_reset_headers_waited_for(spark):
+    now = [0.0]
+    limiter = generate.Limiter(60, 100, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    for _ in range(120):
+        limiter.take(1)
+    assert 59 <= now[0] <= 62  # 60 at once, one a second then
+    limiter.take(500)  # above the whole budget: as soon as it is full
+    assert [generate.waited(h) for h in ("250ms", "6s", "later", "xs")] == [0.25, 6.0, 0.01, 0.01]
+    assert generate.Transient("Rate limit", "250ms").wait == 0.25 and generate.Transient("x").wait is None
+    df = spark.createDataFrame([(i, [("user", "a b")]) for i in range(40)], "row_id long, messages array<struct<role: string, content: string>>").coalesce(1)
+    began = time.monotonic()
+    got = generate.complete(df, generate.EchoGenerator, limits=(1200, None)).filter("status = 'ok'").count()
+    assert got == 40 and generate.complete(df, generate.EchoGenerator, limits=generate.shared_limits(spark, "gpt-4")).count() == 40
+    assert time.monotonic() - began < 60
+
+
+def test_a_stored_result_belongs_to_its_input(spark, tmp_path):
+    store = generate.RunStore(spark, str(tmp_path))
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, value string")
+    assert {r.output for r in generate.generated(one, "value", "id", generate.EchoGenerator, "s", store=store, run_id="r").collect()} == {"a", "b"}
+    two = spark.createDataFrame([(1, "c"), (2, "b")], "id long, value string")
+    assert {r.id: r.output for r in generate.generated(two, "value", "id", generate.EchoGenerator, "s", store=store, run_id="r").collect()} == {1: "c", 2: "b"}
+    assert {r.id: r.output for r in generate.generated(one, "value", "id", generate.EchoGenerator, "s", store=store, run_id="r").collect()} == {1: "a", 2: "b"}
+
+
+def test_topics_are_checked_in_a_second_pass(spark):
+    from threadloom.plans import topics
+
+    df = spark.createDataFrame([(0, "cats", "meow"), (1, None, "x")], "cluster int, topic string, content string")
+    assert {r.cluster: r.topic_check for r in topics.checked(df, generate.EchoGenerator).collect()} == {0: "Topic: cats\n\nmeow", 1: "Topic: \n\nx"}
+
+
+def test_nested_divisions(spark):
+    from threadloom.sources import exports
+
+    html = '<div class="ltx_para a">one <div class="b">two</div> three</div><div class="x"><div class="ltx_para">four</div></div><div class="ltx_parade">no</div>'
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string")
+    assert [r[0] for r in df.select(exports.numbered_divisions(F.col("html"))).collect()] == [{0: "one two three", 1: "four"}, None, {}]
+
+
+def test_first_containing_for_short_and_empty_calls(spark):
+    calls = spark.createDataFrame([(x,) for x in ("", "a", "ab", "abcd", "zz", None)], "call string")
+    names = spark.createDataFrame([(0, "xabc"), (1, "abcde"), (2, ""), (3, None)], "at int, name string")
+    got = {r.call: r.name for r in relational.first_containing(calls, names, "call", "name", "at", []).collect()}
+    assert got == {"": "xabc", "a": "xabc", "ab": "xabc", "abcd": "abcde"}

@@ -350,8 +350,85 @@ def _rewritten(*steps: type[ast.NodeTransformer]) -> Callable[[str], str]:
     return run
 
 
+class _Smaller(ast.NodeTransformer):
+    """Without annotations, `object` bases and needless `pass`; imports in a row are one."""
+
+    def generic_visit(self, node: ast.AST) -> ast.AST:
+        super().generic_visit(node)
+        for name in ("body", "orelse", "finalbody"):
+            rows = getattr(node, name, None)
+            if isinstance(rows, list) and rows:
+                left = [s for s in rows if not isinstance(s, ast.Pass)] or rows[:1]
+                joined: list[ast.stmt] = []
+                for s in left:
+                    if joined and type(s) is type(joined[-1]) is ast.Import:
+                        joined[-1] = ast.Import([*joined[-1].names, *s.names])
+                    else:
+                        joined.append(s)
+                setattr(node, name, joined)
+        return node
+
+    def visit_arg(self, node: ast.arg) -> ast.AST:
+        return ast.arg(node.arg)
+
+    def visit_FunctionDef(self, node: ast.AST) -> ast.AST:  # noqa: N802
+        node.returns = None
+        return self.generic_visit(node)
+
+    visit_AsyncFunctionDef = visit_FunctionDef  # noqa: N815
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> ast.AST:  # noqa: N802
+        # annotations in a class body make its fields: they stay
+        node.bases = [b for b in node.bases if not (isinstance(b, ast.Name) and b.id == "object")]
+        node.body = [s if isinstance(s, ast.AnnAssign) else self.visit(s) for s in node.body]
+        kept = [s for s in node.body if not isinstance(s, ast.Pass)]
+        node.body = kept or node.body[:1]
+        return node
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> ast.AST:  # noqa: N802
+        return node if node.value is None else ast.Assign([node.target], self.visit(node.value))
+
+
+def _minified(code: str) -> str:
+    """The smaller tree, with one blank an indent and blanks only between words."""
+    text = ast.unparse(ast.fix_missing_locations(_Smaller().visit(ast.parse(code))))
+    rows, out, depth, held, fresh, last, quoted = text.splitlines(keepends=True), [], 0, 0, True, "", None
+    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+        if t.type == tokenize.INDENT:
+            depth += 1
+        elif t.type == tokenize.DEDENT:
+            depth -= 1
+        if t.type in (tokenize.INDENT, tokenize.DEDENT, tokenize.NL, tokenize.ENDMARKER):
+            continue
+        string = t.string
+        if t.type == tokenize.FSTRING_START:
+            quoted, held = (t.start if not held else quoted), held + 1
+            continue
+        if t.type == tokenize.FSTRING_END:
+            held -= 1
+            if not held:  # an f-string stays as it is written
+                (a, b), (c, d) = quoted, t.end
+                string = rows[a - 1][b:d] if a == c else rows[a - 1][b:] + "".join(rows[a : c - 1]) + rows[c - 1][:d]
+        if held:
+            continue
+        if t.type == tokenize.NEWLINE:
+            out.append("\n")
+            fresh, last = True, ""
+            continue
+        if fresh:
+            out.append(" " * depth)
+            fresh = False
+        elif last and string and (last[-1].isalnum() or last[-1] in "_\"'" or not last[-1].isascii()) and (string[0].isalnum() or string[0] in "_\"'" or not string[0].isascii()):
+            out.append(" ")
+        elif last in (".", "...") and string[:1].isdigit() or last[-1:].isdigit() and string[:1] == ".":
+            out.append(" ")
+        out.append(string)
+        last = string
+    return "".join(out).rstrip("\n")
+
+
 without_docstrings = _guarded(_rewritten(_Strip), "string")
-minified = _guarded(_rewritten(_Strip), "string")
+minified = _guarded(_minified, "string")
 skeleton = _guarded(_rewritten(_Skeleton), "string")
 normalised = _guarded(lambda c: ast.dump(ast.parse(c)), "string")
 

@@ -1,8 +1,10 @@
 """Batch generation: requests, estimates, providers, and a store of finished rows.
 
 A provider is built on the executors and called for a batch of rows from a few threads; it retries
-single rows, so that a repeated task doesn't repeat a whole partition's calls. Results are joined by
-row id, never by position, and written once a run: rows that a run has finished are not asked again.
+single rows, so that a repeated task doesn't repeat a whole partition's calls, and waits as long as a
+reset header says. With `limits`, the requests and tokens a minute are shared by the tasks that can run
+at once. Results are joined by row id, never by position, and written once a run: rows that a run has
+finished with the same input are not asked again.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql.utils import AnalysisException
 
 from threadloom.functions.messages import request_messages
 from threadloom.functions.tokens import DEFAULT, Tokenizer
+from threadloom.operators.cluster import checkpointed
 from threadloom.schema import embedding_col
 
 #: model, dollars per 1000 tokens, endpoint, requests and tokens a minute
@@ -34,7 +37,22 @@ DEFAULT_MODEL, DEFAULT_MAX_TOKENS, WORKERS, ATTEMPTS = "gpt-3.5-turbo", 1000, 17
 
 
 class Transient(Exception):
-    """Worth another try."""
+    """Worth another try, after the wait that the response's reset header names, if there is one."""
+
+    def __init__(self, said: str = "", reset: str | None = None):
+        super().__init__(said)
+        self.wait = waited(reset) if reset is not None else None
+
+
+def waited(header: str) -> float:
+    """Seconds of a reset header, as `reset_seconds` reads them; 0.01 for what isn't a number."""
+    for unit, scale in (("ms", 1000.0), ("s", 1.0)):
+        if unit in header:
+            try:
+                return float(header.removesuffix(unit)) / scale
+            except ValueError:
+                break
+    return 0.01
 
 
 class Generator(Protocol):
@@ -171,40 +189,58 @@ def embedding_rows(responses: DataFrame, response: str = "response") -> DataFram
     )
 
 
-def _called(provider: Callable[[], object], ask: Callable[[object, object], object], attempts: int, workers: int, pause: float, kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def one(made: object, value: object) -> tuple:
+def shared_limits(spark: SparkSession, model: str) -> tuple[float, float | None]:
+    """A task's share of the requests and tokens a minute of a model: as many tasks as there are cores run at once."""
+    for name, _, _, asked, tokens in PRICES:
+        if name == model:
+            n = max(1, spark.sparkContext.defaultParallelism)
+            return asked / n, None if tokens is None else tokens / n
+    raise ValueError(f"no limits are known of {model!r}")
+
+
+def _size(value: object) -> int:
+    """About as many tokens as `estimated_tokens` has, without the reply."""
+    if isinstance(value, str) or value is None:
+        return len((value or "").split())
+    return 2 + sum(4 + len(str(m["role"] or "").split()) + len((m["content"] or "").split()) for m in value)
+
+
+def _called(provider: Callable[[], object], ask: Callable[[object, object], object], attempts: int, workers: int, pause: float, kind: str, limits: tuple[float, float | None] | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def one(made: object, limiter: Limiter | None, value: object) -> tuple:
         said = None
         for k in range(attempts):
+            if limiter:
+                limiter.take(_size(value))
             try:
                 return ask(made, value), "ok", k + 1, None
             except Transient as e:
                 said = str(e)
-                time.sleep(pause * 2**k)
+                time.sleep(pause * 2**k if e.wait is None else e.wait)
             except Exception as e:  # a failed row is a row with a status
                 return None, "other", k + 1, str(e)
         return None, "overloaded" if "overloaded" in (said or "") else "rate_limit", attempts, said
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = provider()
+        made, limiter = provider(), Limiter(*limits) if limits else None
         with ThreadPoolExecutor(workers) as pool:
             for pdf in batches:
-                got = list(pool.map(lambda v: one(made, v), pdf[kind]))
+                got = list(pool.map(lambda v: one(made, limiter, v), pdf[kind]))
                 yield pd.DataFrame({"row_id": pdf["row_id"], "output": [g[0] for g in got], "status": [g[1] for g in got], "attempts": [g[2] for g in got], "error": [g[3] for g in got]})
 
     return run
 
 
-def complete(df: DataFrame, provider: Callable[[], Generator], attempts: int = ATTEMPTS, workers: int = WORKERS, pause: float = 0.01) -> DataFrame:
+def complete(df: DataFrame, provider: Callable[[], Generator], attempts: int = ATTEMPTS, workers: int = WORKERS, pause: float = 0.01, limits: tuple[float, float | None] | None = None) -> DataFrame:
     """(row_id, output, status, attempts, error) of rows (row_id, messages)."""
     ask = lambda g, m: g.complete([x if isinstance(x, dict) else x.asDict() for x in m])
-    run = _called(provider, ask, attempts, workers, pause, "messages")
+    run = _called(provider, ask, attempts, workers, pause, "messages", limits)
     kind = df.schema["row_id"].dataType.simpleString()
     return df.select("row_id", "messages").mapInPandas(run, f"row_id {kind}, output string, status string, attempts int, error string")
 
 
-def embed(df: DataFrame, provider: Callable[[], Embedder], attempts: int = ATTEMPTS, workers: int = WORKERS, pause: float = 0.01) -> DataFrame:
+def embed(df: DataFrame, provider: Callable[[], Embedder], attempts: int = ATTEMPTS, workers: int = WORKERS, pause: float = 0.01, limits: tuple[float, float | None] | None = None) -> DataFrame:
     """(row_id, output, status, attempts, error) of rows (row_id, input); output is a vector."""
-    run = _called(provider, lambda e, t: e.embed(t), attempts, workers, pause, "input")
+    run = _called(provider, lambda e, t: e.embed(t), attempts, workers, pause, "input", limits)
     kind = df.schema["row_id"].dataType.simpleString()
     return df.select("row_id", "input").mapInPandas(run, f"row_id {kind}, output array<double>, status string, attempts int, error string")
 
@@ -224,11 +260,14 @@ class RunStore:
             return None
 
     def run(self, run_id: str, rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Results of all rows; only those without an `ok` result of this run are worked on."""
+        """Results of all rows; only those without an `ok` result of this run for the same input are worked on."""
+        given = [c for c in rows.columns if c != "row_id"]
+        keys = rows.select("row_id", F.md5(F.to_json(F.struct(*given))).alias("input_key"))
         old = self.finished(run_id)
-        todo = rows if old is None else rows.join(old.filter("status = 'ok'").select("row_id"), "row_id", "left_anti")
-        work(todo).write.mode("append").parquet(f"{self.path}/run_id={run_id}")
-        new = self.finished(run_id)
+        todo = keys if old is None else keys.join(old.filter("status = 'ok'").select("row_id", "input_key"), ["row_id", "input_key"], "left_anti")
+        asked = rows.join(todo.select("row_id").distinct(), "row_id", "left_semi")
+        work(asked).join(keys, "row_id").write.mode("append").parquet(f"{self.path}/run_id={run_id}")
+        new = self.finished(run_id).join(keys.distinct(), ["row_id", "input_key"], "left_semi").drop("input_key")
         best = new.groupBy("row_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "row_id"]), F.when(F.col("status") == "ok", 1).otherwise(0)).alias("_r"))
         return best.select("row_id", "_r.*")
 
@@ -240,10 +279,10 @@ class RunStore:
 
 
 def generated(df: DataFrame, column: str, row_id: str, provider: Callable[[], Generator], system_prompt: str, output: str = "output", store: RunStore | None = None, run_id: str | None = None) -> DataFrame:
-    """df with the generated text for a column; failed rows get null."""
+    """df with the generated text for a column; failed rows get null. Rows are asked once, at this call."""
     asked = df.select(F.col(row_id).alias("row_id"), request_messages(F.col(f"`{column}`"), system_prompt).alias("messages"))
     work = lambda rows: complete(rows, provider)
-    made = store.run(run_id, asked, work) if store else work(asked)
+    made = store.run(run_id, asked, work) if store else checkpointed(work(asked))
     return _attach(df, made, row_id, output)
 
 
@@ -251,7 +290,7 @@ def embedded(df: DataFrame, column: str, row_id: str, provider: Callable[[], Emb
     """df with `embedding|column`."""
     asked = df.select(F.col(row_id).alias("row_id"), F.col(f"`{column}`").alias("input"))
     work = lambda rows: embed(rows, provider)
-    made = store.run(run_id, asked, work) if store else work(asked)
+    made = store.run(run_id, asked, work) if store else checkpointed(work(asked))
     return _attach(df, made, row_id, output or embedding_col(column))
 
 

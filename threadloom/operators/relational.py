@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions import code
 from threadloom.operators.cluster import checkpointed
 
+#: Characters by which calls and entities meet.
+GRAM = 3
+
 
 def attached(df: DataFrame, columns: DataFrame, key: str = "row_id") -> DataFrame:
     """Columns side by side, matched by a key and never by position; unmatched rows get nulls."""
@@ -24,8 +28,14 @@ def inner_renamed(left: DataFrame, right: DataFrame, left_on: str, right_on: str
 
 
 def first_containing(calls: DataFrame, entities: DataFrame, call: str, entity: str, position: str, keys: Sequence[str]) -> DataFrame:
-    """For each call, the first entity (by position) whose name contains the called name; calls without one go."""
-    pairs = calls.join(entities.select(F.col(entity), F.col(position)), F.contains(F.col(entity), F.col(call)))
+    """For each call, the first entity (by position) whose name contains the called name; calls without one go.
+
+    Names are met by the first `GRAM` characters of the call, which an equal piece of the entity must have.
+    """
+    name = F.col(entity)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda at: F.substring(name, at, n))))
+    indexed = entities.filter(name.isNotNull()).select(name, F.col(position), F.explode(F.array_distinct(pieces)).alias("_gram"))
+    pairs = calls.withColumn("_gram", F.substring(call, 1, GRAM)).join(indexed, "_gram").filter(F.contains(F.col(entity), F.col(call)))
     best = pairs.groupBy(*keys, call).agg(F.min_by(F.struct(entity, position), F.struct(position, entity)).alias("_m"))
     return best.select(*keys, call, F.col("_m")[entity].alias(entity), F.col("_m")[position].alias(position))
 
@@ -79,3 +89,15 @@ def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") ->
         known = checkpointed(known.unionByName(step).distinct())
         if size == (size := known.count()):
             return known
+
+
+def with_related_code(df: DataFrame, key: str, column: str, name: str = "code_with_related_prompt") -> DataFrame:
+    """Adds each row's code, followed by the code of the first row (by key) whose main entity's name contains the name of a function it calls, for each call in turn; code that calls none of them stays as it is."""
+    called = F.transform(code.calls(F.col(column)), lambda c: c["name"])
+    each = df.select(F.col(key).alias("_key"), F.posexplode(called).alias("_at", "_call"))
+    named = df.select(F.col(key).alias("_of"), code.main_entity(F.col(column)).alias("_entity")).filter("_entity is not null")
+    found = each.join(first_containing(each.select("_call").distinct(), named, "_call", "_entity", "_of", []), "_call")
+    bodies = found.join(df.select(F.col(key).alias("_of"), F.col(column).alias("_code")), "_of")
+    told = bodies.groupBy("_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_code"))), lambda x: x["_code"]), "\n\n").alias("_told"))
+    joined = df.join(told, df[key] == told["_key"], "left")
+    return joined.withColumn(name, F.when(F.col("_told").isNull(), F.col(column)).otherwise(F.concat(F.col(column), F.lit("\n\n Related Code: "), F.col("_told")))).drop("_key", "_told")

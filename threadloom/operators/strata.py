@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,20 +68,32 @@ def create_stratas(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Dat
     return df
 
 
-def _place(columns: Sequence[str], key: str, seed: int) -> Column:
-    # in the order of a digest that other engines have too
-    return F.row_number().over(Window.partitionBy(*columns).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key))
+def placed(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
+    """Adds `_place`, 1.. within each stratum in the order of a seeded digest of the key.
+
+    A stratum is cut into 256 ranges of the digest, so that a large one is many tasks' work: the place in
+    the range, and the rows of the ranges before it.
+    """
+    cut = df.withColumn("_digest", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))).withColumn("_range", F.substring("_digest", 1, 2))
+    names = [f"_k{i}" for i in range(len(columns))]
+    sizes = cut.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(columns, names, strict=True)], F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    on = [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(columns, names, strict=True)]
+    joined = cut.join(sizes, [*on, F.col("_range") == F.col("_r")])
+    within = F.row_number().over(Window.partitionBy(*names, "_range").orderBy("_digest", key))
+    return joined.withColumn("_place", F.col("_before") + within).drop("_digest", "_range", "_r", "_n", "_before", *names)
 
 
 def stratified_sample(df: DataFrame, columns: Sequence[str], n: int, key: str, seed: int = 0) -> DataFrame:
     """About n rows, each stratum in proportion (rounded up), chosen by a seeded hash of the key."""
     size = df.groupBy(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("_size"))
     total = df.agg(F.count("*").alias("_total"))
-    ranked = df.withColumn("_place", _place(columns, key, seed))
+    ranked = placed(df, columns, key, seed)
     joined = ranked.join(size, [F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)]).crossJoin(F.broadcast(total))  # one row
     return joined.filter(F.col("_place") <= F.ceil(F.col("_size") * n / F.col("_total"))).select(*[f"`{c}`" for c in df.columns])
 
 
 def stratified_folds(df: DataFrame, columns: Sequence[str], folds: int, key: str, seed: int = 0) -> DataFrame:
     """Adds `fold`, 0..folds-1, evenly within each stratum."""
-    return df.withColumn("fold", (_place(columns, key, seed) - 1) % folds)
+    return placed(df, columns, key, seed).withColumn("fold", ((F.col("_place") - 1) % folds).cast("int")).drop("_place")

@@ -12,6 +12,7 @@ from threadloom.operators.generate import Embedder, Generator, RunStore, embedde
 from threadloom.operators.thread import conversations
 
 SUMMARY_PROMPT = "Summarise the conversation in a few sentences."
+CHECK_PROMPT = "Say whether the topic fits the conversations, and give a better one if it does not."
 TOPIC_PROMPT = "Name the topic that these conversations share in a few words."
 
 
@@ -27,6 +28,12 @@ def topic_features(thread: DataFrame, clusters: DataFrame, label: Callable[[Data
     return thread.join(clusters, "conversation_id").join(topics, "cluster")
 
 
+def checked(topics: DataFrame, generator: Callable[[], Generator], store: RunStore | None = None, run_id: str = "topic-check") -> DataFrame:
+    """Topics (cluster, topic, content) with `topic_check`, what the generator says to the label beside its text: a second pass over all of them."""
+    asked = topics.withColumn("_asked", F.concat_ws("\n\n", F.concat(F.lit("Topic: "), F.coalesce("topic", F.lit(""))), "content"))
+    return generated(asked, "_asked", "cluster", generator, CHECK_PROMPT, "topic_check", store, run_id).drop("_asked")
+
+
 def run(
     thread: DataFrame,
     generator: Callable[[], Generator],

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +75,46 @@ def paragraphs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<p(?: [^>]*)?>(.*?)</p>"), F.lit(1)), _without_tags)
 
 
+class _Divisions(HTMLParser):
+    """Texts of the <div> elements of a class, in the order in which they begin; one inside another is in both."""
+
+    def __init__(self, css_class: str):
+        super().__init__()
+        self.css_class, self.open, self.texts = css_class, [], []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "div":
+            mine = self.css_class in (dict(attrs).get("class") or "").split()
+            if mine:
+                self.texts.append([])
+            self.open.append(len(self.texts) - 1 if mine else None)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "div" and self.open:
+            self.open.pop()
+
+    def handle_data(self, data: str) -> None:
+        for i in self.open:
+            if i is not None:
+                self.texts[i].append(data)
+
+
 def numbered_divisions(html: Column, css_class: str = "ltx_para") -> Column:
-    """Map from position to text of the <div> elements of a class (not nested)."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(rf'(?s)<div[^>]*class="[^"]*\b{css_class}\b[^"]*"[^>]*>(.*?)</div>'), F.lit(1)), _without_tags)
-    return F.map_from_entries(F.transform(found, lambda x, i: F.struct(i, x)))
+    """Map from position to text of the <div> elements of a class, however they are nested."""
+
+    def texts(value: str | None) -> dict[int, str] | None:
+        if value is None:
+            return None
+        parser = _Divisions(css_class)
+        parser.feed(value)
+        parser.close()
+        return {i: "".join(x) for i, x in enumerate(parser.texts)}
+
+    @F.pandas_udf("map<int, string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(texts)
+
+    return run(html)
 
 
 def full_text(html: Column) -> Column:
