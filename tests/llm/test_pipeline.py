@@ -51,8 +51,38 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert (got.groupby("pack_id")["n_tokens"].sum() <= packing.CAPACITY).all()
 
 
-def test_run_equals_its_stages(spark):
+def through(spark, docs, folder):
+    """Each stage's result, written and read again."""
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        yield docs
+
+
+def test_run_equals_its_stages(spark, tmp_path):
     once = corpus_pipeline.run(spark, SF).toPandas()
-    again = corpus_pipeline.run(spark, SF).toPandas()
+    *_, last = through(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path)
     key = ["pack_id", "offset"]
-    assert once.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    assert once.sort_values(key).reset_index(drop=True).equals(last.toPandas().sort_values(key).reset_index(drop=True))
+
+
+def test_stages_take_nulls_repeats_and_other_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(3).unionByName(docs.limit(3)).unionByName(docs.selectExpr("cast(null as bigint) as doc_id", "text", "cast(null as string) as lang", "cast(null as string) as source", "n_chars").limit(2))
+    odd = odd.unionByName(spark.createDataFrame([(900_001, None, "en", "s", None), (900_002, "", "en", None, 0), (900_003, "plain words of a long text " * 60_000, "en", "s", 1)], docs.schema))
+    wide = docs.unionByName(odd).selectExpr("*", "1 as fp", "2 as node", "3 as shard", "4 as score", "5 as gone", "6 as n_tokens")
+    at = list(through(spark, wide, tmp_path / "w"))
+    assert all(d.columns == wide.columns for d in at[:-1])
+    kept = [d.count() for d in at[:-1]]
+    assert kept == sorted(kept, reverse=True) and 0 < kept[-1]
+    ids = {r.doc_id for r in at[0].collect()}
+    assert not ids & {900_001, 900_002}  # without a word
+    assert at[1].filter("text is not null").groupBy("text").count().filter("count > 1").isEmpty()
+    assert at[-1].filter("n_tokens > 2048").isEmpty()
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    *front, last = through(spark, docs, tmp_path)
+    assert [d.count() for d in front] == [0] * 4 and last.count() == 0
+    assert all(d.columns == docs.columns for d in front)
