@@ -153,6 +153,37 @@ def test_pairs_of_a_band_are_all_found(spark, layout):
     assert len(got) == len(set(got)) and set(got) == want and sum(b >= 40 for _, _, b in want) > 500
 
 
+def test_no_near_text_is_left_out(spark):
+    """Pairs about the radius, some of which share no band of the index."""
+    texts = [t for i in range(400) for t in (" ".join(prose(80, i)), altered(prose(80, i), 0.15, i))]
+    code, _ = simhash.codes(pa.array(texts))
+    near = [(i, int(j)) for i in range(len(code)) for j in np.flatnonzero(simhash.distance(code, code[i : i + 1]) <= simhash.RADIUS) if i < j]
+    a, b = np.array(near).T
+    assert (simhash.Layout.of(len(code)).first_band(code[a], code[b]) < 0).sum() >= 5
+    got = {tuple(r) for r in simhash.near_copies(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert got == {(i, r) for i, r in brute_components(range(len(texts)), near).items() if i != r}
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 100])
+def test_links_of_all_blocks(spark, block):
+    """The components of all pairs within the radius, chains and one large class included, by a bounded number of rows."""
+    rng = np.random.RandomState(7)
+    flip = lambda x, bits: x ^ np.packbits(rng.rand(len(x), 256).argsort(axis=1) < bits, axis=1)
+    base = rng.randint(0, 256, (300, 32)).astype(np.uint8)
+    chain = [base[:100]]
+    for bits in (48, 47, 48):
+        chain.append(flip(chain[-1], bits))
+    code = np.concatenate([base, *chain[1:], flip(base[100:200], 49), flip(np.repeat(base[299:], 500, 0), 12)]).view(np.uint64)
+    near = [(i, int(j)) for i in range(len(code)) for j in np.flatnonzero(simhash.distance(code, code[i : i + 1]) <= simhash.RADIUS) if i < j]
+    coded = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(code)], "node long, code binary")
+    got = [(r.a, r.b) for r in simhash.near_links(coded, block=block).collect()]
+    blocks = -(-len(code) // block)
+    assert len(near) > 100_000 and len(got) <= len(code) * (blocks + 1)
+    assert brute_components(range(len(code)), got) == brute_components(range(len(code)), near)
+    found = [(int(i), int(j)) for p, q in simhash.compare(code, code, simhash.RADIUS) for i, j in zip(p, q, strict=True)]
+    assert len(found) == len(near) and set(found) == set(near)
+
+
 @pytest.mark.parametrize("ids", [(3, 5), ((1 << 63) - 1, 5), ((1 << 63) - 1, -(1 << 63))])
 def test_no_number_is_confused_with_a_null_id(spark, ids):
     base = prose(300, 1)

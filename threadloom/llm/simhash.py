@@ -1,28 +1,24 @@
-"""SimHash near-dedup with BK-trees.
+"""SimHash near-dedup, exact: no pair of codes within the radius is left out.
 
 A text's code is 256 bits, the signs of the summed +-1 projections of its distinct words, so edits of
 case and punctuation don't count and a replaced word counts once.  Two texts are near copies where
 their codes differ in at most `RADIUS` bits of 256.  Of texts of 300 distinct words with a share of
 0.12, 0.17 and 0.2 replaced, 0.90, 0.53 and 0.30 lie within; unrelated ones differ in 80 bits or more.
 
-Two codes are compared where they agree in one of the bands.  A band is some bits of a shard and some
-more; a shard's bits are drawn from the 256 by a seeded order of its own, and the bits that its bands
-add follow in that order.  Codes are spread over shards by the shard's bits, so that a code is sent once
-a shard; there, the codes of each band make one BK-tree, whose children are keyed by their integer
-Hamming distance to the parent.  Every code is a query in each of its trees and follows only the edges
-whose key is within the radius of its distance to the node.
-
-Bands have 16 bits up to 2^22 different codes and one bit more for every doubling, so that the expected
-size of a tree stays below 2^7 at any corpus size; the number of bands is then the least at which a
-pair that differs in `RADIUS` bits is met with probability `RECALL` or more (see `Layout.recall`, exact
-for bands drawn apart from each other, and the README for what is measured).  Nearer pairs are met with a
-higher one: this is an index with a stated recall, not an exact search, as all pairs would be needed for
-that at this radius.  Work per code thus grows as a small power of the corpus (2^0.3 a doubling), not in
-proportion to it.
-
-A tree is sent to where its queries are by the shuffle that makes the shard: all trees together are as
-large as the corpus' codes (32 bytes and an id each), so no table that grows is broadcast.  Texts with
-the same code are one node, so that thousands of copies cost one.
+All different codes are compared (`near_links`).  They are dealt to blocks by a hash, and each pair of
+blocks is a tile, compared in one task: three of the four words of a code decide almost all pairs, the
+fourth is looked at for the rest.  A tile gives no pairs but the links of a spanning forest of what it
+found, so that a class of m codes costs a tile m rows and not m * m; classes are the components of these.
+Texts with the same code are one node, so that thousands of copies cost one.  Nothing that grows is
+broadcast: a code is sent once for each block, 12 times up to 12 * `BLOCK` codes.
+
+This work is the square of the number of different codes.  Exact indexes gain little at this radius:
+agreement in one of disjoint bands is certain only for 49 bands of 5 bits, which meet more pairs than there
+are (49 / 32), and the edges of a BK-tree rule out next to nothing, as the distances of unrelated texts
+to any node are mostly within 48 of each other.
+
+`near_pairs` is an index that isn't exact, of BK-trees in bands, with a recall of `RECALL` at the radius (see
+`Layout.recall`) and work that grows little more than the corpus.  It leaves pairs out, so no query uses it.
 
 Defined results: null texts and texts without a word have no code and are copies of nothing; rows
 with the same doc_id are one document, which stays or goes whole (a null doc_id is one too); doc_id must
@@ -43,12 +39,16 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from threadloom.llm import textkernel as tk
-from threadloom.llm.common import cut, pick
+from threadloom.llm.common import cut, parallelism, pick
 
 RADIUS = 48
 WORDS = 4
 SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 RECALL, SEED = 0.93, 1
+#: Most codes of a block on average; blocks that a corpus has at least if they hold `LEAST` codes.
+BLOCK, BLOCKS, LEAST = 1 << 18, 12, 1 << 10
+#: Codes compared at a time, rows and columns of a tile.
+ROWS, COLUMNS = 8, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -249,7 +249,7 @@ def document_codes(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(coded: DataFrame, radius: int = RADIUS, layout: Layout | None = None) -> DataFrame:
-    """(a, b, bits) of all nodes (node, code) found within the radius; a < b."""
+    """(a, b, bits) of the nodes (node, code) within the radius that share a band, not of all within it; a < b."""
     layout = layout or Layout.of(coded.count(), radius)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +287,80 @@ def near_pairs(coded: DataFrame, radius: int = RADIUS, layout: Layout | None = N
     return spread_out.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "a long, b long, bits int")
 
 
+def compare(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y) of all codes within the radius; of a table with itself, each pair once."""
+    left, right = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    differ, bits, more = np.empty((ROWS, COLUMNS), np.uint64), np.empty((ROWS, COLUMNS), np.uint8), np.empty((ROWS, COLUMNS), np.uint8)
+    for lo in range(0, len(y), COLUMNS):
+        width = min(COLUMNS, len(y) - lo)
+        for at in range(0, min(len(x), lo + width) if x is y else len(x), ROWS):
+            rows = min(ROWS, len(x) - at)
+            d, n, m = differ[:rows, :width], bits[:rows, :width], more[:rows, :width]
+            for w in range(WORDS - 1):  # without the last word, 8 bits hold the count
+                np.bitwise_xor(left[w, at : at + rows, None], right[w, lo : lo + width], out=d)
+                np.bitwise_count(d, out=m if w else n)
+                if w:
+                    np.add(n, m, out=n)
+            maybe = n <= radius
+            if not maybe.any():
+                continue
+            p, q = np.divmod(np.flatnonzero(maybe), width)
+            p, q = p + at, q + lo
+            if x is y:
+                p, q = p[p < q], q[p < q]
+            near = distance(x[p], y[q]) <= radius
+            if near.any():
+                yield p[near], q[near]
+
+
+def _read(blobs: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), kind)
+
+
+def near_links(coded: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b) nodes (node, code; a row a code) within the radius or tied by such: the components are those of all pairs within the radius."""
+    from threadloom.llm.vectors import Forest  # which takes components from here
+
+    count = coded.count()
+    blocks = max(1, min(BLOCKS, -(-count // LEAST)), -(-count // block))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = b.column(0).to_numpy()
+            order = np.argsort(to, kind="stable")
+            node, code = b.column(1).to_numpy()[order], _read(b.column(2), np.uint64).reshape(-1, WORDS)[order]
+            own = np.unique(to)
+            end = np.searchsorted(to[order], own, side="right")
+            spans = list(zip([0, *end[:-1]], end, strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (node, code)]], ["block", "node", "code"])
+
+    def join(group: pa.Table) -> pa.Table:
+        first = group.column("first").to_numpy()
+
+        def side(which: bool) -> tuple[np.ndarray, np.ndarray]:
+            own = group.filter(pa.array(first == which))
+            return _read(own.column("node"), np.int64), _read(own.column("code"), np.uint64).reshape(-1, WORDS)
+
+        (node, x), (other, y) = side(True), side(False)
+        alone = group.column("alone")[0].as_py()
+        forest = Forest(node.size + other.size)
+        for p, q in compare(x, x if alone else y, radius):
+            forest.link(p, q if alone else q + node.size)
+        every = np.concatenate([node, other])
+        root = forest.find(np.arange(every.size))
+        hung = np.flatnonzero(root != np.arange(every.size))
+        return pa.table({"a": every[root[hung]], "b": every[hung]})
+
+    to_block = F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("block")
+    packed = coded.select(to_block, "node", "code").mapInArrow(pack, "block long, node binary, code binary")
+    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    tile = (F.least("block", "other") * blocks + F.greatest("block", "other")).alias("tile")
+    sent = sent.select(tile, (F.col("block") <= F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("alone"), "node", "code")
+    # a number given is left alone: tiles are little data and much work
+    tiles = blocks * (blocks + 1) // 2
+    return sent.repartition(min(tiles, max(200, parallelism(coded.sparkSession))), "tile").groupBy("tile").applyInArrow(join, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of the connected component of each node of the edges (a, b).
 
@@ -329,7 +403,7 @@ def near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     each = coded.join(named, "code")
     own = each.groupBy("doc_id").agg(F.array_sort(F.collect_set("node")).alias("own")).filter("size(own) > 1")
     tied = own.select(F.explode(F.expr("slice(own, 2, size(own) - 1)")).alias("b"), F.expr("own[0]").alias("a"))
-    roots = components(near_pairs(named, radius).select("a", "b").unionByName(tied.select("a", "b")))
+    roots = components(near_links(named, radius).unionByName(tied.select("a", "b")))
     ids = each.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     if not above and (of_null := cut(ids.filter(F.col("keep_id") == null))).count():  # its group is named by it, though another document stays
         ids = ids.withColumn("keep_id", F.when(F.col("keep_id") == null, F.lit(of_null.agg(F.min("doc_id")).first()[0])).otherwise(F.col("keep_id")))
