@@ -51,6 +51,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert (got.groupby("pack_id")["n_tokens"].sum() <= packing.CAPACITY).all()
 
 
+def test_near_stage_leaves_no_pair_out(spark):
+    """One text of each class of all pairs within the radius, some of which share no band of the index."""
+    rng = np.random.RandomState(3)
+    words = [[f"w{k}" for k in rng.randint(0, 1 << 30, 100)] for _ in range(600)]
+    texts = [" ".join(t) for w in words for t in (w, [f"x{k}" if x < 0.17 else v for v, x, k in zip(w, rng.rand(100), rng.randint(0, 1 << 30, 100), strict=True)])]
+    code, _ = simhash.codes(pa.array(texts))
+    near = simhash.distance(code[::2], code[1::2]) <= simhash.RADIUS
+    assert sum((np.bitwise_count(code ^ c).sum(1) <= simhash.RADIUS).sum() for c in code) == len(code) + 2 * near.sum()
+    assert (simhash.Layout.of(len(code)).first_band(code[::2][near], code[1::2][near]) < 0).sum() >= 5
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()}
+    assert left == {*range(0, len(texts), 2), *(2 * np.flatnonzero(~near) + 1).tolist()}
+
+
 def through(spark, docs, folder):
     """Each stage's result, written and read again."""
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
