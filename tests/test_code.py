@@ -117,3 +117,46 @@ def test_related_code(spark):
     got = {r.id: r.code_with_related_prompt for r in relational.with_related_code(df, "id", "code").collect()}
     assert got[1] == rows[0][1] + "\n\n Related Code: " + rows[1][1] + "\n\n" + rows[2][1]
     assert {k: v for k, v in got.items() if k != 1} == dict(rows[1:])
+
+
+def test_equal_texts_are_analysed_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def noted(text):
+        with open(calls, "a") as f:
+            f.write("x")
+        return len(text)
+
+    df = spark.createDataFrame([(None if i % 4 == 3 else "x" * (i % 4),) for i in range(4000)], "code string").coalesce(1)
+    got = df.groupBy("code", code._guarded("noted", noted, "int")("code").alias("n")).count().collect()
+    assert sorted((-1 if r.n is None else r.n, r["count"]) for r in got) == [(-1, 1000), (0, 1000), (1, 1000), (2, 1000)]
+    assert os.path.getsize(calls) == 3
+
+
+def test_held_results_are_bounded_and_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(code, "KEPT", 10)
+    monkeypatch.setattr(code, "_kept", {})
+    texts = ["a" * n for n in (1, 4, 6, 1, 30, 4)]
+    assert code.results(("length",), len, texts) == [1, 4, 6, 1, 30, 4]
+    assert sum(map(len, code._kept[("length",)][0])) <= 10
+    assert code.results(("upper",), str.upper, texts) == [t.upper() for t in texts]
+    row = spark.createDataFrame([("def f():\n    'D.'\n    return 1\n",)], "a string").select(code.skeleton("a"), code.without_docstrings("a"), code.normalised("a"), code.main_entity("a")).first()
+    assert len(set(row)) == 4
+
+
+def test_code_of_a_small_file_is_spread(spark):
+    from threadloom import code_queries
+
+    assert code_queries.source(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_nodes_are_visited_in_order_without_operators_and_contexts():
+    tree = ast.parse(SLICES + "match x:\n    case [1, *r] | {'k': v} if not -v:\n        async def f[T](*, a=1, **k): await (yield)\n")
+
+    def plain(n):
+        yield n
+        for c in ast.iter_child_nodes(n):
+            yield from plain(c)
+
+    kept = [n for n in plain(tree) if not isinstance(n, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop))]
+    assert list(map(id, code.preorder(tree))) == list(map(id, kept))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import code
+from threadloom.operators.cluster import parallelism
 from threadloom.queries import query, table
 
 _AUGMENTED = "".join(f"x {op}= 1  #o:{name}Assign;\n" for name, op in code.BINARY.values())
@@ -73,10 +74,10 @@ _TAGS = f"(select p_partkey, tag[1] as kind, tag[3:-2] as name from (select p_pa
 
 
 def source(spark, sf) -> DataFrame:
-    """(p_partkey, code)."""
-    key = F.col("p_partkey")
+    """(p_partkey, code). Keys are some bytes each and come in few splits, so they are spread before the code is made."""
+    key, rows = F.col("p_partkey"), table(spark, sf, "part").select("p_partkey")
     whole = F.concat(*[F.repeat(F.lit(p), (F.floor((key + i) / 3**i) % 3).cast("int")) for i, p in enumerate(PIECES)])
-    return table(spark, sf, "part").select("p_partkey", F.when(key % 50 == 0, BROKEN).otherwise(whole).alias("code"))
+    return rows.repartition(parallelism(spark), "p_partkey").select("p_partkey", F.when(key % 50 == 0, BROKEN).otherwise(whole).alias("code"))
 
 
 def _some(df: DataFrame, amounts) -> DataFrame:
@@ -94,13 +95,13 @@ def code_counters(spark, sf):
 @query(f"select p_partkey, name, count(*) as n from {_TAGS} where kind in ('c', 't') group by all")
 def code_node_counts(spark, sf):
     """Every node counter."""
-    return _some(source(spark, sf), code.analysed(F.col("code"))["counts"])
+    return _some(source(spark, sf), code.analysed(F.col("code"), parts=["counts"])["counts"])
 
 
 @query(f"select p_partkey, name, count(*) as n from {_TAGS} where kind = 'o' group by all")
 def code_operator_counts(spark, sf):
     """Every operator counter."""
-    return _some(source(spark, sf), code.analysed(F.col("code"))["operators"])
+    return _some(source(spark, sf), code.analysed(F.col("code"), parts=["operators"])["operators"])
 
 
 @query(f"select p_partkey, name, count(*) as n from {_TAGS} where kind in ('n', 't') group by all")

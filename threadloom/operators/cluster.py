@@ -6,12 +6,17 @@ from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.vectors import dot
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks of a stage whose work is not a matter of its bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The computed rows in the folder of spark.checkpoint.dir, which all executors share."""
     context = df.sparkSession.sparkContext
