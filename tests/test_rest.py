@@ -1,11 +1,12 @@
 import json
+import math
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import messages, text, validate
-from threadloom.operators import cluster, generate, relational, strata
+from threadloom.operators import cluster, generate, pairs, relational, search, strata
 from threadloom.plans.chat import FAILED, MemoryChat, PerspectivePrompts
 from threadloom.plans.frame import Frame, Roles, embeddable_type
 from threadloom.sources import exports, files
@@ -226,3 +227,45 @@ def test_first_containing_for_short_and_empty_calls(spark):
     names = spark.createDataFrame([(0, "xabc"), (1, "abcde"), (2, ""), (3, None)], "at int, name string")
     got = {r.call: r.name for r in relational.first_containing(calls, names, "call", "name", "at", []).collect()}
     assert got == {"": "xabc", "a": "xabc", "ab": "xabc", "abcd": "abcde"}
+
+
+def _vectors(spark):
+    """Vectors of two lengths, with nulls, repeated keys and a chain of near ones, over three partitions."""
+    chain = [(f"k{i:03}", [math.cos(i / 20), math.sin(i / 20), 0.0]) for i in range(150)]
+    odd = [("k007", [0.3, 0.1, 0.2]), ("k007", [0.3, 0.1, 0.2]), ("w", [1.0, 2.0]), ("v", [2.0, 4.1]), ("n", None), ("m", [1.0, None, 2.0]), (None, [1.0, 0.0, 0.0]), ("e", [])]
+    return chain + odd, spark.createDataFrame(chain + odd, "k string, v array<double>").repartition(3)
+
+
+def test_kernel_of_tiles_is_that_of_all_pairs(spark):
+    rows, df = _vectors(spark)
+    have = [(k, v) for k, v in rows if k is not None]
+    def dot(x, y):
+        if x is None or y is None or len(x) != len(y) or None in x or None in y:
+            return None
+        return sum((a * b for a, b in zip(x, y, strict=True)), 0.0)
+
+    want = sorted([(a, b, dot(x, y)) for a, x in have for b, y in have if a <= b], key=repr)
+    for settings in ({}, {"block": 7, "group": 1500}):
+        assert sorted([tuple(r) for r in search.kernel(df, "k", "v", **settings).collect()], key=repr) == want
+
+
+def test_no_join_of_all_pairs_is_in_a_plan(spark):
+    _, df = _vectors(spark)
+    made = pairs.checkpointed(pairs.blocks(df, "k", "v", 7))
+    for d in (search.kernel(df, "k", "v"), cluster.near_forest(made, 0.9)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_density_of_tiles_writes_a_forest(spark):
+    _, df = _vectors(spark)
+    for settings in ({}, {"block": 7, "group": 1500}):
+        got = {(r.k, r.cluster) for r in cluster.density(df, "k", "v", 0.998, **settings).collect()}
+        chain = {c for k, c in got if k and k[0] == "k"}
+        assert chain == {0} and {c for k, c in got if k in ("v", "w")} == {1}
+        assert {c for k, c in got if k in ("n", "m", "e", None)} == {-1}
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0]), (4, None)], "id long, v array<double>")
+    assert sorted(r.cluster for r in cluster.density(odd, "id", "v", 0.4).collect()) == [-1, 0, 0, 0]
+    same = spark.range(600).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    made = pairs.checkpointed(pairs.blocks(same, "id", "v", 50))
+    assert cluster.near_forest(made, 0.4).count() < 600 * 16  # of 179 700 pairs

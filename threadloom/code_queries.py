@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import code
-from threadloom.operators.cluster import parallelism
+from threadloom.operators.pairs import parallelism
 from threadloom.queries import query, table
 
 _AUGMENTED = "".join(f"x {op}= 1  #o:{name}Assign;\n" for name, op in code.BINARY.values())
