@@ -269,3 +269,22 @@ def test_density_of_tiles_writes_a_forest(spark):
     same = spark.range(600).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
     made = pairs.checkpointed(pairs.blocks(same, "id", "v", 50))
     assert cluster.near_forest(made, 0.4).count() < 600 * 16  # of 179 700 pairs
+
+
+def test_ancestors_of_chains_diamonds_cycles_and_nulls(spark, rows):
+    chain, diamond = [(i, i + 1) for i in range(13)], [(20, 21), (20, 22), (21, 23), (22, 23), (23, 24), (20, 24), (20, 21)]
+    cycle, odd = [(30, 31), (31, 32), (32, 30), (33, 33), (34, 30)], [(None, 20), (40, None), (None, None)]
+    edges = {*chain, *diamond, *cycle, *odd}
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b is not None and b == c} - want:
+        want |= more
+    got = rows(relational.ancestors(spark.createDataFrame([*chain, *diamond, *cycle, *odd], "child long, parent long")))
+    assert got == sorted(want, key=repr)
+
+
+def test_ancestors_of_a_tree_are_made_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(relational, "checkpointed", lambda df: (kept := pairs.checkpointed(df), written.append(kept.count()))[0])
+    heap = spark.range(2, 2000).select(F.col("id").alias("child"), F.expr("id div 2").alias("parent"))
+    n = relational.ancestors(heap).count()
+    assert sum(written) < 1.5 * n

@@ -81,14 +81,21 @@ def agreement(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(child, parent) for all ancestors, by joins that double the distance each time, until nothing is new; cycles end by themselves."""
-    known = checkpointed(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())
-    size = known.count()
-    while True:
-        step = known.toDF("child", "by").join(known.toDF("by", "parent"), "by").select("child", "parent")
-        known = checkpointed(known.unionByName(step).distinct())
-        if size == (size := known.count()):
-            return known
+    """(child, parent) for all ancestors; cycles end by themselves.
+
+    `known` are the pairs less than d steps apart, `far` those whose shortest way has d. One of d to 2d - 1
+    steps is one of d and a shorter one, one of 2d is two of d, so a round makes a tree's pair once and
+    doubles d. Pairs are written in the round that finds them, and only read by those after it.
+    """
+    far = checkpointed(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).distinct())
+    known = far.limit(0)
+    while not far.isEmpty():
+        step = far.toDF("child", "by")
+        beyond, twice = (step.join(d.toDF("by", "parent"), "by").select("child", "parent") for d in (known, far))
+        met = known.withColumn("at", F.lit(0)).unionByName(far.unionByName(beyond).withColumn("at", F.lit(1))).unionByName(twice.withColumn("at", F.lit(2)))
+        fresh = checkpointed(met.groupBy("child", "parent").agg(F.min("at").alias("at")).filter("at > 0"))
+        known, far = known.unionByName(fresh.filter("at = 1").drop("at")), fresh.filter("at = 2").drop("at")
+    return known
 
 
 def with_related_code(df: DataFrame, key: str, column: str, name: str = "code_with_related_prompt") -> DataFrame:
